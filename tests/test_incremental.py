@@ -1,0 +1,194 @@
+"""The flat event source: validation, versions, upserts and the incremental loop."""
+
+from datetime import UTC, datetime
+
+import pytest
+from pyspark.sql import functions as F
+
+from feedloom.functions import text
+from feedloom.operators import metrics, upsert, validation, versions
+from feedloom.schemas import EVENT, EVENT_FIELDS
+from feedloom.sources import files, paged
+from feedloom.sources.store import Store, bundle, unbundle
+from feedloom.streaming import incremental
+
+from .fixtures import events
+
+T0 = datetime(2026, 1, 1, tzinfo=UTC)
+
+
+def row(**more):
+    base = {"response_id": "R1", "customer_id": "C1", "journey_stage": "support", "responded_at": T0, "updated_at": T0, "event_version": 1, "nps_score": 6, "csat_score": 3, "category": "x", "comment": None}
+    return tuple((base | more)[f] for f in EVENT_FIELDS)
+
+
+def frame(spark, *rows):
+    return spark.createDataFrame(list(rows), EVENT)
+
+
+@pytest.fixture(scope="module")
+def source():
+    return events.build()
+
+
+def test_fixture_counts(source):
+    assert len(source) == 6377 and sum(e["event_version"] == 99 for e in source) == 25
+    assert source == events.build()
+
+
+def test_reasons_are_the_first_broken_rule(spark):
+    df = frame(spark, row(), row(customer_id="", category=None), row(nps_score=12, csat_score=9), row(nps_score=11), row(csat_score=0), row(customer_id="  "), row(nps_score=None), row(comment=None))
+    got = [r.reason for r in df.withColumn("reason", validation.event_reason(df)).collect()]
+    assert got == [None, "missing:customer_id,category", "invalid_nps_score", "invalid_nps_score", "invalid_csat_score", None, "missing:nps_score", None]
+
+
+def test_latest_valid_with_ties_by_arrival(spark):
+    later = datetime(2026, 1, 2, tzinfo=UTC)
+    rows = [(*row(), 1, 0), (*row(updated_at=later, event_version=2, nps_score=7), 1, 1), (*row(response_id="R2", nps_score=12), 1, 2)]
+    rows += [(*row(response_id="R3", comment="second"), 2, 1), (*row(response_id="R3", comment="first"), 1, 9), (*row(response_id="R4", event_version=1), 1, 1), (*row(response_id="R4", event_version=3), 1, 2)]
+    valid, rejected = incremental.latest_valid(spark.createDataFrame(rows, EVENT + ", page int, place int"))
+    got = {r.response_id: r for r in valid.collect()}
+    assert got["R1"].nps_score == 7 and got["R3"].comment == "first" and got["R4"].event_version == 3 and set(got) == {"R1", "R3", "R4"}
+    assert [r.reason for r in rejected.collect()] == ["invalid_nps_score"]
+
+
+def test_upsert_is_idempotent_and_strict(spark):
+    empty, one = frame(spark), frame(spark, row())
+    merged = upsert.newer_wins(empty, one, "response_id", "updated_at")
+    assert upsert.upsert_statistics(empty, one, "response_id", "updated_at").first().asDict() == {"inserted": 1, "updated": 0, "replayed_or_unchanged": 0}
+    assert upsert.upsert_statistics(merged, one, "response_id", "updated_at").first().asDict() == {"inserted": 0, "updated": 0, "replayed_or_unchanged": 1}
+    # a higher version at the same instant in a later batch does not replace
+    same = frame(spark, row(event_version=9, nps_score=1))
+    assert upsert.newer_wins(merged, same, "response_id", "updated_at").first().event_version == 1
+    newer = frame(spark, row(updated_at=datetime(2026, 2, 1, tzinfo=UTC), nps_score=1), row(response_id="R2"))
+    assert upsert.upsert_statistics(merged, newer, "response_id", "updated_at").first().asDict() == {"inserted": 1, "updated": 1, "replayed_or_unchanged": 0}
+    assert {r.response_id: r.nps_score for r in upsert.newer_wins(merged, newer, "response_id", "updated_at").collect()} == {"R1": 1, "R2": 6}
+    assert upsert.upsert_statistics(merged, empty, "response_id", "updated_at").first().asDict() == {"inserted": 0, "updated": 0, "replayed_or_unchanged": 0}
+
+
+def test_conflicts_need_two_values(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (2, "b"), (3, None)], "k int, v string")
+    assert {r.k for r in versions.conflicting_keys(df, ["k"], "v").collect()} == {2}
+    assert {r.k for r in df.withColumn("c", versions.varies(F.col("v"), "k")).filter("c").collect()} == {2}
+
+
+def test_keys_orphans_collisions(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z")], "k int, v string")
+    b = spark.createDataFrame([(1, "x"), (3, "q")], "k int, v string")
+    assert upsert.duplicate_keys(a, ["k"]).first().asDict() == {"k": 2, "count": 2}
+    assert [r.k for r in upsert.orphans(b, a, ["k"]).collect()] == [3]
+    assert upsert.collisions(b, a, "k", "v").isEmpty()
+    assert [r.k for r in upsert.collisions(a.filter("k = 2"), a, "k", "v").collect()] == [2]
+    assert [r.k for r in upsert.absent(b, a, ["k"]).collect()] == [3]
+    with pytest.raises(ValueError):
+        upsert.assert_empty(a, "not empty")
+
+
+def test_overlap_and_instants(spark):
+    assert incremental.overlap("2026-01-15T10:00:00Z") == "2026-01-15T09:55:00Z" and incremental.overlap(None) is None
+    df = spark.createDataFrame([("2026-01-15T10:00:00.750Z",), ("2026-01-15T07:00:00-03:00",), ("2026-01-15T10:00:00",), ("x",), (None,)], "t string")
+    got = df.select(text.iso_micros(text.instant(F.col("t"))).alias("t"), text.instant_reason(F.col("t")).alias("why"), text.iso_seconds(text.overlap_start(text.instant(F.col("t")))).alias("o")).collect()
+    assert [r.t for r in got] == ["2026-01-15T10:00:00.750000Z", "2026-01-15T10:00:00.000000Z", None, None, None]
+    assert [r.why for r in got] == [None, None, "timestamp_without_timezone", "invalid_timestamp", "invalid_timestamp"]
+    assert got[0].o == "2026-01-15T09:55:00Z" and got[4].o is None
+
+
+def test_text_functions(spark):
+    given = ["é", "﻿ a  b​ ", "\x1c x \x1f", "", None, "plain"]
+    got = [r.c for r in spark.createDataFrame([(x,) for x in given], "t string").select(text.clean_text(F.col("t")).alias("c")).collect()]
+    assert got == ["é", "a b", "x", "", None, "plain"]
+    ids = spark.createDataFrame([(x,) for x in ("a", "", " a", "é", "é", None)], "t string").select(text.is_identifier(F.col("t")).alias("c")).collect()
+    assert [r.c for r in ids] == [True, False, False, False, True, False]
+    one = spark.range(1).select(text.json_object({"b": text.json_string(F.lit('x"/é\n')), "a": text.json_string(F.lit(None).cast("string"))}).alias("j"), text.bounded_score(F.lit(12.4), 0, 10).alias("s")).first()
+    assert one.j == '{"a":null,"b":"x\\"/é\\n"}' and one.s == 10
+
+
+def test_pages_token_and_retries(spark, source):
+    paged.register(spark)
+    server = events.Server(source[:5])
+    try:
+        got = spark.read.format("paged_responses").options(url=server.url, token=events.TOKEN, page_size=2).load()
+        assert got.count() == 5 and got.select("page").distinct().count() == 3
+        assert paged.available(server.url, events.TOKEN) == 5
+        with pytest.raises(RuntimeError):
+            paged.fetch(f"{server.url}/v1/responses", "wrong", pause=0.01)
+        with pytest.raises(RuntimeError):
+            paged.fetch(f"{server.url}/nowhere", events.TOKEN, pause=0.01)
+        server.failures, before = 2, len(server.requests)
+        assert paged.fetch(f"{server.url}/v1/responses", events.TOKEN, pause=0.01)["pagination"]["total_records"] == 5
+        assert len(server.requests) == before + 3
+    finally:
+        server.close()
+
+
+def test_full_then_incremental_then_nothing(spark, source, tmp_path):
+    server, store = events.Server(source), Store(spark, str(tmp_path / "lake"))
+    try:
+        full = incremental.load(store, server.url, events.TOKEN, "2025-09-30T23:59:59Z")
+        assert (full["mode"], full["pages_requested"], full["full_scan_rows_at_cutoff"], full["extracted_rows"]) == ("full", 19, 4573, 4573)
+        assert full["committed_watermark"] == "2025-09-30T23:37:00Z" and full["query_watermark"] is None and full["read_reduction_pct"] == 0.0
+        assert full["validation"] == {"valid_latest_rows_in_batch": 4315, "superseded_or_replayed_rows_in_batch": 240, "quarantined_rows": 18}
+        assert full["upsert"] == {"inserted": 4315, "updated": 0, "replayed_or_unchanged": 0} and full["analytical_rows"] == 4315
+        more = incremental.load(store, server.url, events.TOKEN, "2026-01-15T23:59:59Z")
+        assert (more["mode"], more["pages_requested"], more["full_scan_rows_at_cutoff"], more["extracted_rows"], more["rows_avoided_vs_full_scan"], more["read_reduction_pct"]) == ("incremental", 8, 6365, 1793, 4572, 71.8)
+        assert (more["previous_watermark"], more["query_watermark"], more["committed_watermark"]) == ("2025-09-30T23:37:00Z", "2025-09-30T23:32:00Z", "2026-01-15T13:46:00Z")
+        assert more["validation"] == {"valid_latest_rows_in_batch": 1699, "superseded_or_replayed_rows_in_batch": 87, "quarantined_rows": 7}
+        assert more["upsert"] == {"inserted": 1685, "updated": 13, "replayed_or_unchanged": 1} and more["analytical_rows"] == 6000
+        before = metrics.output_digest({"f": store.table("responses", "fact_response")})
+        none = incremental.load(store, server.url, events.TOKEN, "2025-01-01T00:00:00Z")
+        assert none["extracted_rows"] == 0 and none["committed_watermark"] == more["committed_watermark"] and none["read_reduction_pct"] == 0.0
+        assert metrics.output_digest({"f": store.table("responses", "fact_response")}) == before
+        runs = store.table("comparison", "runs").orderBy("as_of").collect()
+        assert [(r.mode, r.analytical_rows) for r in runs] == [("incremental", 6000), ("full", 4315), ("incremental", 6000)]
+        assert store.history("quarantine", "reason string, record string, run_id string").count() == 25
+        files.write_gold_csv(store.table("responses", "fact_response"), str(tmp_path / "gold"))
+        gold = spark.read.option("header", True).csv(str(tmp_path / "gold"))
+        assert gold.columns == EVENT_FIELDS and gold.count() == 6000 and gold.first().response_id == "R000001"
+        assert incremental.text_table(["a", "bb"], [["1", 2]]) == "a | bb\n--+---\n1 | 2 "
+        store.register("responses")
+        assert spark.sql("select count(*) from fact_response").first()[0] == 6000
+    finally:
+        server.close()
+
+
+def test_stream_equals_batch(spark, source, tmp_path):
+    part = source[:400]
+    server, store = events.Server(part), Store(spark, str(tmp_path / "lake"))
+    try:
+        stream = incremental.stream_upserts(spark, store, {"url": server.url, "token": events.TOKEN}, str(tmp_path / "check"))
+        query = stream.trigger(processingTime="500 milliseconds").start()
+        try:
+            query.processAllAvailable()
+        finally:
+            query.stop()
+        batch = Store(spark, str(tmp_path / "other"))
+        incremental.load(batch, server.url, events.TOKEN, "2100-01-01T00:00:00Z")
+        both = [metrics.output_digest({"f": s.table("responses", "fact_response")}) for s in (store, batch)]
+        assert both[0] == both[1] and both[0]["f"][0] > 300
+    finally:
+        server.close()
+
+
+def test_store_keeps_what_readers_see(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "lake"))
+    assert store.table("g", "t") is None and store.table("g", "t", "a int").count() == 0
+    store.replace("g", {"t": spark.range(3)}, mark=1)
+    old = store.table("g", "t")
+    store.replace("g", {"t": old.filter("id > 0"), "u": spark.range(1)}, mark=2)
+    assert old.count() == 3 and store.table("g", "t").count() == 2 and store.facts("g") == {"mark": 2}
+    whole = bundle({"a": spark.createDataFrame([(1, None)], "x int, y string"), "b": spark.range(2)})
+    assert whole.count() == 3
+    assert unbundle(whole, "a", "x int, y string").collect() == [(1, None)] and unbundle(whole, "b", "id long").count() == 2
+    store.reset()
+    assert store.table("g", "t") is None
+
+
+def test_json_lines(spark, tmp_path):
+    (tmp_path / "x.jsonl").write_text('{"a": 1}\n\n{"a": "no"}\n{broken\n', encoding="utf-8")
+    got = files.read_jsonl(spark, str(tmp_path / "x.jsonl"), "a int", strict=False).collect()
+    assert [r.a for r in got] == [1, None, None] and got[2]._corrupt_record == "{broken"
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_jsonl(spark, str(tmp_path / "x.jsonl"), "a int").collect()
+    files.write_jsonl(spark.range(2), str(tmp_path / "out"))
+    files.write_jsonl(spark.range(9), str(tmp_path / "out"), "ignore")
+    assert spark.read.json(str(tmp_path / "out")).count() == 2
