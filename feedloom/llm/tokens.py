@@ -8,11 +8,24 @@ are bounded: a full one is emptied, which costs time and never changes a result.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
+import unicodedata
 from array import array
 
 CACHE_UNITS = 800_000
+# The normalising and splitting rules that the parts of plain units follow.
+_RULES = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
 _loaded: dict[tuple[str, str], object] = {}
 
 
@@ -22,39 +35,81 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def digest_of(*rules: object) -> str:
+    return json.dumps(rules, sort_keys=True)
+
+
 def file_digest(path: str) -> str:
     """The tokenizer's version: a digest of its file."""
     return hashlib.sha256(open(path, "rb").read()).hexdigest()
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Character classes of the letters and of the other numbers below U+0250, lower case."""
+    low = [chr(c) for c in range(0x250) if chr(c) != "İ"]
+    pick = lambda kind: "".join(re.escape(c) for c in low if unicodedata.category(c)[0] == kind and c == c.lower())
+    return pick("L"), pick("N")
+
+
+_LETTERS, _NUMBERS = _plain_letters()
+#: Units whose lower case and cutting follow from the tables of one Unicode block or two.
+_PLAIN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u024f]*").fullmatch
+_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+").findall
+
+
 class JsonUnits(dict):
     """Unit -> little-endian uint32 ids, for a tokenizers .json file that drops white space.
 
     Units are runs without a space or a line feed: the normaliser maps both to a
     space, and the splitting pattern never spans one. Special strings hold neither,
     so they stay within a unit and are handled as the library does by default.
+
+    A unit of plain characters is lower-cased and cut as the file says, and its parts
+    are cached in turn; a new part goes through the model alone. Other units go through
+    the whole library. A file with other rules has no parts.
     """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
+        self.whole = Tokenizer.from_file(path)
+        self.merges = self.whole.model
+        rules = json.loads(open(path, encoding="utf-8").read())
+        self.known = digest_of(rules.get("normalizer"), rules.get("pre_tokenizer")) == digest_of(*_RULES)
+        self.parts: dict[str, bytes] = {}
+
+    def __missing__(self, unit: str) -> bytes:
+        if self.known and _PLAIN(unit) and "<|" not in unit:
+            words = _WORDS(unit.lower())
+            get = self.parts.get
+            ids = b"".join([get(w) or self._part(w) for w in words])
+        else:
+            ids = array("I", self.whole.encode(unit, add_special_tokens=False).ids).tobytes()
+        self[unit] = ids
+        return ids
+
+    def _part(self, word: str) -> bytes:
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN)
+        ids = self.parts[word] = array("I", [t.id for t in self.merges.tokenize(shown)]).tobytes()
+        return ids
 
-    def fill(self, units: set[str]) -> None:
-        new = list(units.difference(self))
-        if len(self) + len(new) > CACHE_UNITS:
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        if len(self) > CACHE_UNITS:
             self.clear()
-            new = list(units)
-        for low in range(0, len(new), 8192):
-            part = new[low : low + 8192]
-            for unit, got in zip(part, self.model.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[unit] = array("I", got.ids).tobytes()
+        if len(self.parts) > CACHE_UNITS:
+            self.parts.clear()
+        get = self.__getitem__
+        return [b"".join(map(get, (t or "").replace("\n", " ").split(" "))) for t in texts]
+
+
+def _shown_bytes() -> dict[int, str]:
+    """Byte-level vocabularies show a byte as itself if it is printable, else as one of the characters from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: chr(0x100 + n) for n, b in enumerate(b for b in range(256) if b not in plain)}
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        self.fill(set().union(*cut))
-        return [b"".join(map(self.__getitem__, units)) for units in cut]
+
+_SHOWN = _shown_bytes()
 
 
 class PieceUnits(dict):
@@ -75,35 +130,26 @@ class PieceUnits(dict):
         self.cuts = not any(("▁" in p[1:] and p.strip("▁")) or "\n" in p for p in pieces) and [len(self.model.encode(t)) for t in ("a b", "a\nb", " a", "a")] == [2, 3, 2, 1]
         self.mark = len(self.model.encode("\n"))
 
-    def fill(self, units: set[str]) -> None:
-        new = list(units.difference(self))
-        if len(self) + len(new) > CACHE_UNITS:
-            self.clear()
-            new = list(units)
-        for low in range(0, len(new), 8192):
-            part = new[low : low + 8192]
-            self.update(zip(part, map(len, self.model.encode(part, num_threads=1)), strict=True))
+    def __missing__(self, unit: str) -> int:
+        n = self[unit] = len(self.model.encode(unit))
+        return n
 
     def counts(self, texts: list[str | None]) -> list[int]:
-        out: list[int] = []
-        cut: list[list[str]] = []
+        if len(self) > CACHE_UNITS:
+            self.clear()
+        get, out = self.__getitem__, []
         for t in texts:
             t = t or ""
             if not self.cuts or self._odd.search(t):
-                cut.append([])
                 out.append(len(self.model.encode(t)))
-            else:
-                # a line after the first has no word mark in front: it is kept with its line feed
-                first, *rest = t.split("\n")
-                units = first.split(" ") if first else []
-                for line in rest:
-                    head, *words = line.split(" ")
-                    units.append("\n" + head)
-                    units += words
-                cut.append(units)
-                out.append(-self.mark_excess(first, len(rest)))
-        self.fill(set().union(*cut))
-        return [n + sum(map(self.__getitem__, units)) for n, units in zip(out, cut, strict=True)]
+                continue
+            # a line after the first has no word mark in front: it is kept with its line feed
+            first, *rest = t.split("\n")
+            n = sum(map(get, first.split(" "))) if first else 0
+            for line in rest:
+                n += sum(map(get, ("\n" + line).split(" ")))
+            out.append(n - self.mark_excess(first, len(rest)))
+        return out
 
     def mark_excess(self, first: str, feeds: int) -> int:
         """Word marks that units with a line feed in front have and the text has not."""
