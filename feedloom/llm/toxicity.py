@@ -7,7 +7,8 @@ lower a match and don't undo it. Characters other than letters are left out, and
 three or more single letters in a row make one word.
 
 Landmarks are words of the sample: up to half of them words with the four-letter
-runs that tell the classes apart most, the others drawn by seed. Words are embedded as K(u, Z) K(Z, Z)**-1/2. The
+runs that tell the classes apart most, the others drawn by seed; after the first
+round the clean words that look most toxic are added. Words are embedded as K(u, Z) K(Z, Z)**-1/2. The
 machine is trained on the sentences of labelled documents. A sentence is as toxic as
 its most toxic word (a latent choice, made anew in every round), a document as its
 most toxic sentence: all words of clean sentences are negatives; a toxic document's
@@ -36,6 +37,7 @@ from .words import CLASSES, EDGE, MOST_LETTERS, Scores, by_length, letters, part
 SPAN, DECAY = 7, 0.85
 COST = 0.1
 SPOILT = 400
+SCALE = 2.0  # brings typical images to length 1 or so
 FLOOR = -1.0  # the sum of a text without words
 _GAPS = [(i, j) for j in range(2, SPAN) for i in range(1, j)] + [(i, j, k) for k in range(3, SPAN) for j in range(2, k) for i in range(1, j)]
 _SPACE = CLASSES**4 + CLASSES**3
@@ -157,7 +159,44 @@ def _spoil(word: str, rng: np.random.Generator) -> str:
     return bare[:at] + chr(97 + int(rng.integers(26))) + bare[at:]
 
 
-def fit(sample: pd.DataFrame, landmarks: int = 192, rounds: int = 3, seed: int = 7) -> Model:
+class Landmarks:
+    """The Nystroem space of some words: K(u, Z) K(Z, Z)**-1/2, scaled so that most words have length 1 or so."""
+
+    def __init__(self, words: list[str]) -> None:
+        images = _images(words)
+        self.columns = np.unique(np.concatenate([np.fromiter(m, np.int64) for m in images]))
+        z = np.zeros((len(images), len(self.columns)))
+        for i, m in enumerate(images):
+            z[i, np.searchsorted(self.columns, list(m))] = list(m.values())
+        values, vectors = np.linalg.eigh(z @ z.T)
+        keep = values > 1e-8 * values.max()
+        self.place = np.zeros(_SPACE, np.int32)
+        self.place[self.columns] = np.arange(1, len(self.columns) + 1)
+        self.basis = np.zeros((len(self.columns) + 1, keep.sum()), np.float32)  # a subsequence's part of the embedding
+        self.basis[1:] = SCALE * z.T @ (vectors[:, keep] / np.sqrt(values[keep]))
+
+    def _rows(self, letter_rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(letter_rows), self.basis.shape[1]))
+        for at, w in _occurrences(letter_rows):
+            at = self.place[at]
+            row, col = np.nonzero(at)
+            if len(row):
+                first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+                out[row[first]] += w * np.add.reduceat(self.basis[at[row, col]], first, axis=0)
+        return out / _norm(letter_rows)[:, None]
+
+    def embed(self, words: list[str]) -> np.ndarray:
+        out = np.empty((len(words), self.basis.shape[1]), np.float32)
+        for low in range(0, len(words), 4096):
+            out[low : low + 4096] = score_words(words[low : low + 4096], out.shape[1], self._rows)
+        return out
+
+    def folded(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The subsequences and their weights in a machine's margin."""
+        return self.columns, self.basis[1:].astype(float) @ w
+
+
+def fit(sample: pd.DataFrame, landmarks: int = 128, rounds: int = 3, seed: int = 7) -> Model:
     """Train on rows (text, toxic) of a bounded sample; any order gives the same model.
 
     Without rows of both classes the model scores every text alike: the one class's
@@ -171,6 +210,8 @@ def fit(sample: pd.DataFrame, landmarks: int = 192, rounds: int = 3, seed: int =
     vocabulary: dict[str, int] = {}
     rows = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int64) for words in docs]
     words = list(vocabulary)
+    if not words:
+        return Model(np.empty(0, np.int64), np.empty(0), 0.0, 1.0, -4.0)
     seen = np.zeros((2, len(words)))
     for r, label in zip(rows, y, strict=True):
         seen[label, np.unique(r)] += 1
@@ -196,54 +237,31 @@ def fit(sample: pd.DataFrame, landmarks: int = 192, rounds: int = 3, seed: int =
             covered.update(strongest)
     others = np.flatnonzero(usable)
     chosen += list(np.random.default_rng(seed).permutation(others)[: landmarks - len(chosen)])
-    images = _images([words[i] for i in dict.fromkeys(chosen)])
-    columns = np.unique(np.concatenate([np.fromiter(m, np.int64) for m in images]))
-    z = np.zeros((len(images), len(columns)))
-    for i, m in enumerate(images):
-        z[i, np.searchsorted(columns, list(m))] = list(m.values())
-    values, vectors = np.linalg.eigh(z @ z.T)
-    keep = values > 1e-8 * values.max()
-    root = vectors[:, keep] / np.sqrt(values[keep])
-    place = np.zeros(_SPACE, np.int32)
-    place[columns] = np.arange(1, len(columns) + 1)
-    basis = np.zeros((len(columns) + 1, keep.sum()), np.float32)  # a subsequence's part of the embedding
-    basis[1:] = z.T @ root
-
-    def embed(letter_rows: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(letter_rows), basis.shape[1]))
-        for at, w in _occurrences(letter_rows):
-            at = place[at]
-            row, col = np.nonzero(at)
-            if len(row):
-                first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
-                out[row[first]] += w * np.add.reduceat(basis[at[row, col]], first, axis=0)
-        return out / _norm(letter_rows)[:, None]
-
-    table = score_words(words, basis.shape[1], embed).astype(np.float32)
-    scale = float(np.sqrt((table * table).sum(1).mean())) or 1.0
-    table /= scale
-    flat, of = np.concatenate([r for r in rows if len(r)] or [np.empty(0, np.int64)]), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    if not len(flat):
-        return Model(np.empty(0, np.int64), np.empty(0), 0.0, 1.0, -4.0)
-    clean = seen[0] > 0
+    flat, of = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    clean = np.flatnonzero(seen[0])
     explained = np.zeros(len(docs), bool)
     explained[of[strong[flat]]] = True
     toxic = np.where(strong if strong.any() else suspect, seen[1], 0.0)  # how many toxic documents a word stands for
     if not toxic.any():
         toxic = seen[1].copy()
     rng = np.random.default_rng(seed)
-    for _ in range(rounds):
+    space = None
+    for step in range(rounds):
+        if step < 2:
+            space = Landmarks([words[i] for i in dict.fromkeys(chosen)])
+            table = space.embed(words)
         pos = np.flatnonzero(toxic)
         # the words found toxic stand with a letter put in somewhere, too
         often = pos[np.argsort(-toxic[pos], kind="stable")][:SPOILT]
-        spoilt = score_words([_spoil(words[i], rng) for i in often for _ in range(3)], basis.shape[1], embed) / scale
-        x = np.concatenate((table[clean], table[pos], spoilt.astype(np.float32)))
-        sign = np.concatenate((-np.ones(clean.sum()), np.ones(len(pos) + len(spoilt))))
+        spoilt = space.embed([_spoil(words[i], rng) for i in often for _ in range(3)])
+        x = np.concatenate((table[np.concatenate((clean, pos))], spoilt))
+        sign = np.concatenate((-np.ones(len(clean)), np.ones(len(pos) + len(spoilt))))
         share = np.concatenate((np.log1p(seen[0][clean]), toxic[pos], np.repeat(toxic[often] / 3, 3)))
         for s in (-1, 1):
             share[sign == s] *= 0.5 * len(sign) / share[sign == s].sum()
         w, b = svm.fit(x, sign, cost=COST, weight=share)
-        margin = table @ w + b
+        del x
+        margin = table @ w.astype(np.float32) + b
         best = np.full(len(docs), -np.inf)
         np.maximum.at(best, of, margin[flat])
         top = np.full(len(docs), -np.inf)
@@ -253,10 +271,12 @@ def fit(sample: pd.DataFrame, landmarks: int = 192, rounds: int = 3, seed: int =
         if not near.any():
             break
         toxic = np.bincount(np.unique(np.stack((of[near], flat[near])), axis=1)[1], minlength=len(words)).astype(float)
+        if step == 0:
+            # clean words that look most toxic become landmarks too: the machine can tell them apart then
+            chosen += clean[np.argsort(-np.where(usable, margin, -np.inf)[clean], kind="stable")[: landmarks // 2]].tolist()
     has = np.isfinite(best)
-    slope, shift = svm.platt(best[has], y[has])
-    folded = (basis[1:].astype(float) @ w) / scale
-    return Model(columns.astype(np.int64), folded, b, slope, shift)
+    slope, shift = svm.platt(best[has], y[has], caution=4.0)
+    return Model(*space.folded(w), b, slope, shift)
 
 
 def _score(arrays: Iterator[pa.Array], model: Model, chars: int = 1 << 20) -> Iterator[pa.Array]:
@@ -293,7 +313,7 @@ def _score_texts(texts: list[str], scores: Scores, model: Model) -> np.ndarray:
     return svm.logistic(model.slope * (np.maximum(best, FLOOR) + model.bias) + model.shift)
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, rows: int = 1500, chars: int = 6000) -> pd.DataFrame:
+def training_sample(docs: DataFrame, labels: DataFrame, rows: int = 1200, chars: int = 5000) -> pd.DataFrame:
     """At most `rows` labelled texts of each class, of at most `chars` characters, outside the held-out fold.
 
     Rows are taken by the hash of doc_id. A doc_id with several labels has the largest.
