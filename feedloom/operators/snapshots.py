@@ -142,19 +142,23 @@ def exploded(current: DataFrame) -> DataFrame:
 def affected(history: DataFrame, batch: DataFrame) -> DataFrame:
     """The normalized history's rows that a new batch can change the outcome of.
 
-    Those of the batch's responses, and of responses that share an event id with them:
-    event conflicts cross surveys and are retroactive. Repeated until nothing is added.
+    Those of the batch's responses, and of responses that share an event id with them,
+    however indirectly: event conflicts cross surveys and are retroactive. The history
+    includes the batch. Only keys and event ids are shuffled until nothing is added.
     """
     key = ["survey_id", "response_id"]
-    valid = history.filter("reason is null")
+    links = history.filter("reason is null").select(*key, "event_id").distinct()
     keys = batch.select(*key).distinct()
+    n = keys.count()
     while True:
-        events = valid.join(keys, key, "left_semi").select("event_id").distinct()
-        more = valid.join(events, "event_id", "left_semi").select(*key).unionByName(batch.select(*key)).distinct()
-        if more.count() == keys.count():
+        events = links.join(keys, key, "left_semi").select("event_id").distinct()
+        # a key without valid receipts has no links and stays by the union
+        keys = links.join(events, "event_id", "left_semi").select(*key).unionByName(batch.select(*key)).distinct()
+        more = keys.count()
+        if more == n:
             break
-        keys = more
-    return history.join(keys, key, "left_semi")
+        n = more
+    return history.join(keys.select(*(F.col(c).alias(f"_{c}") for c in key)), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key], "left_semi")
 
 
 def keys_are_unique(tables: dict[str, DataFrame]) -> bool:

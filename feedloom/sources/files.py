@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,3 +36,18 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 def write_gold_csv(df: DataFrame, path: str) -> None:
     """The ten event columns with a header, sorted by response_id, one file."""
     df.select(*EVENT_FIELDS).orderBy("response_id").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A small text file in any file system that Spark reaches."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        stream.write(text.encode())
+    finally:
+        stream.close()
+
+
+def write_report(spark: SparkSession, report: dict, path: str) -> None:
+    """A report as indented JSON with sorted names."""
+    write_text(spark, json.dumps(report, indent=2, ensure_ascii=False, sort_keys=True) + "\n", path)

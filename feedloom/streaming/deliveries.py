@@ -8,32 +8,59 @@ from pyspark.sql import functions as F
 from ..operators import metrics, snapshots
 from ..operators.upsert import assert_empty, duplicate_keys, orphans
 from ..schemas import KEYS, RECEIPT
+from ..sources import files
 from ..sources.store import Store
 
 
-def run_batch(store: Store, receipts: DataFrame) -> dict:
+TABLES = ("responses", "response_categories", "question_answers", "responses_wide")
+_RAW = RECEIPT + ", whole string"
+
+
+def run_batch(store: Store, receipts: DataFrame, rebuild: bool = False) -> dict:
     """Merge a batch of receipts into the history and publish the tables it gives.
 
     A receipt id that comes again with other content fails the whole batch, before
-    anything is written. Keys and references are checked before the commit.
+    anything is written. A receipt is normalized once and kept so. Only responses that
+    the batch can affect are resolved again, unless rebuild asks for all; the result is
+    that of a rebuild from the whole history. Keys and references are checked before
+    the commit, which publishes all tables at once.
     """
     # the payload's text is compared in one form, whatever spaces or order it came with
     form = F.coalesce(F.to_json(F.try_parse_json("payload")), F.col("payload"))
-    store.retain("receipts", receipts.withColumn("payload", form).withColumn("whole", F.to_json(F.struct(*receipts.columns))), "receipt_id", "whole", RECEIPT + ", whole string")
-    history = store.history("receipts", RECEIPT + ", whole string")
-    normalized = snapshots.normalize(history.select("receipt_id", "payload")).cache()
+    batch = receipts.withColumn("payload", form).withColumn("whole", F.to_json(F.struct(*receipts.columns)))
+    store.retain("receipts", batch, "receipt_id", "whole", _RAW)
+    raw = store.history("receipts", _RAW)
+    known = store.table("normalized", "receipts")
+    fresh = raw.select("receipt_id", "payload")
+    if known is not None:
+        fresh = fresh.join(known.select("receipt_id"), "receipt_id", "left_anti")
+    fresh = snapshots.normalize(fresh)
+    store.replace("normalized", {"receipts": fresh if known is None else known.unionByName(fresh)})
+    history = store.table("normalized", "receipts")
+    new = history if known is None else history.join(known.select("receipt_id"), "receipt_id", "left_anti")
+    held = None if rebuild else store.table("survey", "current_snapshots")
+    again = (history if held is None else snapshots.affected(history, new)).cache()
     try:
-        resolved = snapshots.resolve(normalized)
-        current = resolved["current"].cache()
-        tables = snapshots.model(current)
-        for name, df in tables.items():
-            assert_empty(duplicate_keys(df, KEYS[name]), f"duplicate key in {name}")
-            assert_empty(orphans(df, tables["responses"], KEYS["responses"]), f"rows without a response in {name}")
-        facts = {"receipts": history.count()}
-        store.replace("survey", tables | {"current_snapshots": current, "receipt_audit": resolved["audit"], "quarantine": resolved["quarantine"]}, **facts)
-        current.unpersist()
+        resolved = snapshots.resolve(again)
+        published = resolved | snapshots.model(resolved["current"])
+        published = {"current_snapshots": published.pop("current"), "receipt_audit": published.pop("audit"), **published}
+        if held is not None:
+            keys = again.select("survey_id", "response_id").distinct()
+            for name, df in published.items():
+                old = store.table("survey", name)
+                by = ["receipt_id"] if "receipt_id" in old.columns else KEYS["responses"]
+                gone = again.select("receipt_id") if by == ["receipt_id"] else keys
+                published[name] = old.join(gone, by, "left_anti").select(*df.columns).unionByName(df)
+        published = {name: df.cache() for name, df in published.items()}
+        for name in TABLES:
+            assert_empty(duplicate_keys(published[name], KEYS[name]), f"duplicate key in {name}")
+            assert_empty(orphans(published[name], published["responses"], KEYS["responses"]), f"rows without a response in {name}")
+        facts = {"receipts": raw.count(), "resolved": again.count()}
+        store.replace("survey", published, **facts)
+        for df in published.values():
+            df.unpersist()
     finally:
-        normalized.unpersist()
+        again.unpersist()
     return facts
 
 
@@ -41,8 +68,7 @@ def report(store: Store) -> dict:
     """Counts, metrics at both grains and the invariants of the published snapshot."""
     table = lambda name: store.table("survey", name)
     audit = {r.status: r["count"] for r in table("receipt_audit").groupBy("status").count().orderBy("status").collect()}
-    names = ("responses", "response_categories", "question_answers", "responses_wide")
-    rows = {n: table(n).count() for n in names}
+    rows = {n: table(n).count() for n in TABLES}
     return {
         "bronze_receipts": store.facts("survey")["receipts"],
         "receipt_statuses": audit,
@@ -50,6 +76,30 @@ def report(store: Store) -> dict:
         "table_rows": rows,
         "correct_metrics": metrics.summary(table("responses")).first().asDict(),
         "wrong_metrics_latest_join_only": metrics.summary(snapshots.exploded(table("current_snapshots"))).first().asDict(),
-        "digest": metrics.output_digest({n: table(n) for n in names}),
+        "digest": metrics.output_digest({n: table(n) for n in TABLES}),
         "invariants": {"audit_accounts_for_all_receipts": sum(audit.values()) == store.facts("survey")["receipts"], "wide_equals_response_count": rows["responses_wide"] == rows["responses"]},
     }
+
+
+def export(store: Store, root: str, micro: tuple[str, ...] = ()) -> dict:
+    """The published tables and the evidence beside them, as CSV, JSON lines and a summary.
+
+    Silver and gold tables, the fan-out diagnostic (of all responses and of the ids in
+    `micro`, with their wide rows), the audit, the quarantine and report(). Every table is
+    a folder with a header line in each file, sorted by its key.
+    """
+    table = lambda name: store.table("survey", name)
+    some = F.col("response_id").isin(*micro) & (F.col("survey_id") == "survey-demo")
+    flat = snapshots.exploded(table("current_snapshots"))
+    frames = {f"{'gold' if n == 'responses_wide' else 'silver'}/{n}": (table(n), KEYS[n]) for n in TABLES}
+    frames["diagnostics/fan_out"] = (flat, flat.columns)
+    frames["reports/receipt_audit"] = (table("receipt_audit"), ["receipt_id"])
+    if micro:
+        frames["diagnostics/micro_before"] = (flat.filter(some), flat.columns)
+        frames["diagnostics/micro_after"] = (table("responses_wide").filter(some), KEYS["responses_wide"])
+    for path, (df, order) in frames.items():
+        df.orderBy(*order).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{root}/{path}")
+    files.write_jsonl(table("quarantine").orderBy("receipt_id"), f"{root}/reports/quarantine", "overwrite")
+    summary = report(store)
+    files.write_report(store.spark, summary, f"{root}/reports/execution_summary.json")
+    return summary

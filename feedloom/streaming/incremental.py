@@ -13,10 +13,10 @@ from ..operators.upsert import newer_wins, upsert_statistics
 from ..operators.validation import event_reason, split_by_reason
 from ..operators.versions import latest
 from ..schemas import EVENT, EVENT_FIELDS
-from ..sources import paged
+from ..sources import files, paged
 from ..sources.store import Store
 
-BRONZE = EVENT + ", page int, place int, run_id string, source_entity string"
+BRONZE = EVENT + ", page int, place int, run_id string, source_entity string, ingested_at string"
 OVERLAP_MINUTES = 5
 
 
@@ -57,7 +57,7 @@ def load(store: Store, url: str, token: str, as_of: str, page_size: int = 250) -
     since = overlap(previous)
     reader = spark.read.format("paged_responses").options(url=url, token=token, as_of=as_of, page_size=page_size)
     extracted = (reader.option("updated_since", since) if since else reader).load()
-    store.append("bronze", extracted, run_id=run, source_entity="responses")
+    store.append("bronze", extracted, run_id=run, source_entity="responses", ingested_at=paged.iso(datetime.now(UTC)))
     batch = store.history("bronze", BRONZE).filter(F.col("run_id") == run).cache()
     try:
         top = batch.agg(F.count("*").alias("n"), iso_seconds(F.max("updated_at")).alias("top"), F.max("page").alias("pages")).first()
@@ -102,6 +102,17 @@ def record(store: Store, report: dict) -> None:
     store.replace("comparison", {"runs": kept.unionByName(new).coalesce(1)})
 
 
+def save_reports(store: Store, report: dict, root: str) -> None:
+    """One run's report as JSON and as a table, and the comparison of all runs as a table."""
+    lines = [[name, value] for name, value in report.items() if not isinstance(value, dict)]
+    lines += [[f"{group}.{name}", value] for group, held in report.items() if isinstance(held, dict) for name, value in held.items()]
+    stem = f"{root}/{report['mode']}_{report['as_of'][:10]}"
+    files.write_report(store.spark, report, f"{stem}.json")
+    files.write_text(store.spark, text_table(["metric", "value"], lines) + "\n", f"{stem}.txt")
+    runs = store.table("comparison", "runs").orderBy("as_of", "mode")
+    files.write_text(store.spark, text_table(runs.columns, [list(r) for r in runs.collect()]) + "\n", f"{root}/load_comparison.txt")
+
+
 def text_table(headers: list[str], rows: list[list]) -> str:
     """A small table as aligned text."""
     cells = [[str(c) for c in row] for row in [headers, *rows]]

@@ -144,6 +144,9 @@ def test_full_then_incremental_then_nothing(spark, source, tmp_path):
         files.write_gold_csv(store.table("responses", "fact_response"), str(tmp_path / "gold"))
         gold = spark.read.option("header", True).csv(str(tmp_path / "gold"))
         assert gold.columns == EVENT_FIELDS and gold.count() == 6000 and gold.first().response_id == "R000001"
+        incremental.save_reports(store, more, str(tmp_path / "reports"))
+        assert "read_reduction_pct" in (tmp_path / "reports/incremental_2026-01-15.txt").read_text()
+        assert (tmp_path / "reports/load_comparison.txt").read_text().count("incremental") == 2
         assert incremental.text_table(["a", "bb"], [["1", 2]]) == "a | bb\n--+---\n1 | 2 "
         store.register("responses")
         assert spark.sql("select count(*) from fact_response").first()[0] == 6000
