@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +27,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/feedloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def scratch(df: DataFrame, label: str) -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage, survives executors."""
+def scratch(df: DataFrame, label: str, tasks: int | None = None) -> DataFrame:
+    """Write once to the shared folder and read back: cuts lineage, survives executors.
+
+    At most `tasks` files are written, for tables that are known to be small for their plan.
+    """
+    df = df if tasks is None else df.coalesce(tasks)
     path = scratch_path(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -45,20 +51,62 @@ def in_fold(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+CHUNK = 1 << 18  # edges that a task contracts together
+
+
+def _contract(batches: Iterator[pa.RecordBatch], limit: int = 2 * CHUNK) -> Iterator[pa.RecordBatch]:
+    """Edges with the same components, each from a node to the least one that its chunk connects it to."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while (up := parent.get(top, top)) != top:
+            top = up
+        while parent.get(x, x) != top:
+            parent[x], x = top, parent[x]
+        return top
+
+    def told() -> pa.RecordBatch:
+        ends = [(x, find(x)) for x in parent]
+        ends = [(x, r) for x, r in ends if x != r]
+        parent.clear()
+        a, b = zip(*ends, strict=True) if ends else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = find(a), find(b)
+            if x != y:
+                low, high = (x, y) if x < y else (y, x)
+                parent[high] = low
+                parent.setdefault(low, low)
+        if len(parent) >= limit:
+            yield told()
+    if parent:
+        yield told()
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge at most to a root, and no root has one."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("root")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("n").agg(F.sum("up").alias("up"), F.max("root").alias("root")).filter("up > 1 or (up = 1 and root = 1)").isEmpty()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an edge list as (node, root), root the least node id.
 
-    Alternating large-star and small-star steps; each step is one shuffle of the
+    Chunks of edges are contracted within tasks first; then large-star and small-star
+    steps alternate until all edges lead to roots. Each step is a few shuffles of the
     edges, the state is a written table, and the number of steps is logarithmic in
     practice. Nodes without an edge are not returned. Null ends and loops are ignored.
     """
-    now = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct()
+    now = edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b").distinct()
     now = scratch(now, "edges")
-    spark = edges.sparkSession
-    if now.isEmpty():
-        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    last = None
+    tasks = -(-now.count() // CHUNK) or 1
+    now = scratch(now.coalesce(tasks).mapInArrow(_contract, "a long, b long"), "edges")
     for _ in range(max_rounds):
+        if tasks == 1 or _settled(now):  # one chunk has been contracted whole
+            break
         both = now.select("a", "b").union(now.select(F.col("b"), F.col("a")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -68,11 +116,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         least = low.groupBy("a").agg(F.min("b").alias("m"))
         small = low.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        now = scratch(small.filter("a <> b").distinct(), "edges")
-        state = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
-        if state == last:
-            break
-        last = state
+        now = scratch(small.filter("a <> b").distinct().mapInArrow(_contract, "a long, b long"), "edges")
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))

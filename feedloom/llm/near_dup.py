@@ -24,7 +24,7 @@ component steps.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from . import common
 from .shingles import digest, overlaps, shingle_sets
 
+TASK_ROWS = 2048
+BROADCAST_ROWS = 100_000  # of two numbers each
 SKETCH = "doc_id long, print long, n_shingles long, hi long, lo long, sketch array<long>"
 
 
@@ -170,69 +172,85 @@ def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 64)
 def _classes(docs: DataFrame, size: int, percent: int, k: int, star_shingles: int, block_rows: int) -> DataFrame:
     margin = 0.5
     base = common.scratch(sketches(docs, size, k).withColumn("uid", F.monotonically_increasing_id()), "sketches")
+    # small inputs don't need all of the session's partitions; large ones keep them
+    tasks = -(-base.count() // TASK_ROWS) or 1
+    scratch = partial(common.scratch, tasks=tasks)
     full = base.filter("n_shingles > 0")
-    nodes = common.scratch(full.groupBy("hi", "lo").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("m")).select("hi", "lo", F.col("m.doc_id").alias("least"), F.col("m.uid").alias("uid")), "nodes")
+    nodes = scratch(full.groupBy("hi", "lo").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "uid")).alias("m")).select("hi", "lo", F.col("m.doc_id").alias("least"), F.col("m.uid").alias("uid")), "nodes")
     own = full.join(nodes.select("uid"), "uid", "left_semi").select("uid", "doc_id", "n_shingles", "hi", "lo", "sketch")
 
     entries = own.select("uid", "n_shingles", F.size("sketch").alias("kept"), F.explode("sketch").alias("value"))
-    counts = common.scratch(entries.groupBy("value").count().filter("count > 1"), "counts")
+    counts = scratch(entries.groupBy("value").count().filter("count > 1"), "counts")
     shared = entries.join(counts, "value")
     by_node = Window.partitionBy("uid")
     ranked = shared.withColumn("rank", F.row_number().over(by_node.orderBy("count", "value")) + F.col("kept") - F.count("*").over(by_node))
     index = ranked.filter(F.col("rank") <= F.col("kept") - F.ceil(F.col("kept") * margin) + 1).select("value", "uid", "n_shingles")
-    index = common.scratch(index, "index")
+    index = scratch(index, "index")
 
     leaders = index.groupBy("value").agg(F.min(F.struct(F.xxhash64("uid").alias("h"), "uid")).alias("m"), F.count("*").alias("n")).filter("n > 1")
     leaders = leaders.select("value", F.col("m.uid").alias("leader"))
     stars = index.join(leaders, "value").filter("uid <> leader").groupBy("leader", "uid").agg(F.first("n_shingles").alias("n"), F.count("*").alias("overlap"))
-    stars = common.scratch(stars, "stars")
+    stars = scratch(stars, "stars")
     members = stars.select("uid").union(stars.select("leader")).union(index.select("uid")).distinct()
     wanted = own.drop("sketch", "n_shingles").join(members, "uid", "left_semi")
     source = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    texts = common.scratch(wanted.join(source.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id"))).select("uid", "hi", "lo", "text"), "texts")
+    texts = scratch(wanted.join(source.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id"))).select("uid", "hi", "lo", "text"), "texts")
 
     def verify(assigned: DataFrame) -> DataFrame:
         there = assigned.join(texts, "uid").select("unit", "side", "uid", "comp", "hi", "lo", "text")
         there = there.repartition("unit").sortWithinPartitions("unit")
         return there.mapInArrow(partial(_verify, size=size, k=k, percent=percent, margin=margin), "a long, b long")
 
+    # a leader of many members is met in several units; there are few such leaders
     parts = stars.groupBy("leader").agg(F.ceil(F.greatest(F.sum("n") / star_shingles, F.count("*") / block_rows)).alias("parts"))
-    salted = stars.join(parts, "leader").withColumn("salt", F.expr("pmod(xxhash64(uid, 7), parts)"))
+    heavy = scratch(parts.filter("parts > 1"), "leaders")
+    heavy = F.broadcast(heavy) if heavy.count() <= BROADCAST_ROWS else heavy
+    salted = stars.join(heavy, "leader", "left").withColumn("salt", F.expr("pmod(xxhash64(uid, 7), coalesce(parts, 1))"))
     unit = F.xxhash64("leader", "salt")
     star_units = salted.select(unit.alias("unit"), F.lit(1).alias("side"), "uid", F.col("uid").alias("comp")).union(
         salted.select("leader", "salt").distinct().select(unit, F.lit(0), "leader", F.col("leader"))
     )
-    near = common.scratch(verify(star_units), "links")
+    near = scratch(verify(star_units), "links")
     roots = components(near)
 
     placed = index.join(roots.withColumnRenamed("node", "uid"), "uid", "left").select("value", "uid", "n_shingles", F.coalesce("root", "uid").alias("comp"))
     live = placed.groupBy("value").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high")
-    crossing = common.scratch(placed.join(live, "value").select("uid", "n_shingles", "comp", "low").distinct(), "crossing")
+    crossing = scratch(placed.join(live, "value").select("uid", "n_shingles", "comp", "low").distinct(), "crossing")
+    final = roots
+    if not crossing.isEmpty():
+        tiles = _tiles(crossing, star_shingles, block_rows, scratch)
+        final = components(near.union(scratch(verify(tiles), "links")))
+    named = nodes.join(final.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    named = scratch(named, "named")
+    leasts = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "uid")).alias("m"))
+    named = scratch(named.join(leasts, "root").select("hi", "lo", F.col("m.least").alias("component_id"), F.col("m.uid").alias("keeper")), "named")
+    told = base.select("doc_id", "print", "n_shingles", "hi", "lo", "uid").join(named, ["hi", "lo"], "left")
+    found = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    first = F.when(F.col("n_shingles") > 0, F.col("uid") == F.col("keeper")).otherwise(F.lit(True))
+    return told.select("doc_id", "print", "n_shingles", found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept"), first.alias("first"))
+
+
+def _tiles(crossing: DataFrame, star_shingles: int, block_rows: int, scratch: Callable) -> DataFrame:
+    """Units (unit, side, uid, comp) in which members of crossing lists meet across components.
+
+    Components that share a list make a group. A group's rows are cut into blocks of
+    bounded size, those of its largest component apart; every two blocks make a unit,
+    but for two of the largest component.
+    """
     groups = components(crossing.select(F.col("low").alias("a"), F.col("comp").alias("b")))
     rows = crossing.select("uid", "n_shingles", "comp").distinct().join(groups.select(F.col("node").alias("comp"), F.col("root").alias("grp")), "comp")
-    rows = common.scratch(rows, "residual")
+    rows = scratch(rows, "residual")
     main = rows.groupBy("grp", "comp").count().groupBy("grp").agg(F.max(F.struct("count", "comp")).alias("m")).select("grp", F.col("m.comp").alias("main"))
     rows = rows.join(main, "grp").withColumn("inner", F.col("comp") == F.col("main"))
     cuts = rows.groupBy("grp", "inner").agg(F.ceil(F.greatest(F.sum("n_shingles") / star_shingles, F.count("*") / block_rows)).alias("parts"))
     blocks = rows.join(cuts, ["grp", "inner"]).withColumn("block", F.expr("pmod(xxhash64(uid, 11), parts) * 2 + if(inner, 1, 0)"))
-    blocks = common.scratch(blocks.select("grp", "block", "uid", "comp"), "blocks")
+    blocks = scratch(blocks.select("grp", "block", "uid", "comp"), "blocks")
     some = blocks.select("grp", "block").distinct()
     tiles = some.join(some.select("grp", F.col("block").alias("other")), "grp").filter("block <= other and (block % 2 = 0 or other % 2 = 0)")
     tile = F.xxhash64("grp", "block", "other")
     left = tiles.select("grp", "block", tile.alias("unit"), F.when(F.col("block") == F.col("other"), 2).otherwise(0).alias("side"))
     right = tiles.filter("block < other").select("grp", F.col("other").alias("block"), tile.alias("unit"), F.lit(1).alias("side"))
-    tile_units = left.union(right).join(blocks, ["grp", "block"]).select("unit", "side", "uid", "comp")
-    rest = common.scratch(verify(tile_units), "links")
-
-    final = components(near.union(rest))
-    named = nodes.join(final.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    named = common.scratch(named, "named")
-    leasts = named.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "uid")).alias("m"))
-    named = common.scratch(named.join(leasts, "root").select("hi", "lo", F.col("m.least").alias("component_id"), F.col("m.uid").alias("keeper")), "named")
-    told = base.select("doc_id", "print", "n_shingles", "hi", "lo", "uid").join(named, ["hi", "lo"], "left")
-    found = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    first = F.when(F.col("n_shingles") > 0, F.col("uid") == F.col("keeper")).otherwise(F.lit(True))
-    return told.select("doc_id", "print", "n_shingles", found.alias("component_id"), F.col("doc_id").eqNullSafe(found).alias("kept"), first.alias("first"))
+    return left.union(right).join(blocks, ["grp", "block"]).select("unit", "side", "uid", "comp")
 
 
 components = common.components
