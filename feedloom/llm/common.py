@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+import functools
+import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +50,32 @@ def drop_scratch(spark: SparkSession) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def in_rows(array: pa.Array, rows: int = 256) -> Iterator[list]:
+    """An Arrow column as Python lists of a few rows at a time."""
+    for low in range(0, len(array), rows):
+        yield array.slice(low, rows).to_pylist()
+
+
+def tidily(work: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """For generators that run as tasks: freed memory goes back to the system when one ends.
+
+    Python workers live on and are lent to other tasks; what they keep counts against
+    the executor.
+    """
+
+    @functools.wraps(work)
+    def run(*args, **named) -> Iterator:
+        try:
+            yield from work(*args, **named)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(ctypes.util.find_library("c")), "malloc_trim", None):
+                trim(0)
+
+    return run
+
+
 def in_fold(doc_id: str = "doc_id") -> Column:
     """True for rows held out of every fit: crc32(doc_id as text) mod 5 is 0."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))

@@ -5,11 +5,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 _PLAIN = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _built: dict[bytes, Matcher] = {}
 
@@ -113,10 +116,12 @@ def _matcher(items: list[tuple[int, str]], rate: float) -> Matcher:
     return _built[key]
 
 
+@common.tidily
 def _search(batches: Iterator[pa.RecordBatch], items: list[tuple[int, str]], rate: float) -> Iterator[pa.RecordBatch]:
     matcher = _matcher(items, rate)
     for batch in batches:
-        rows = [(doc_id, *hit) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if text for hit in matcher.find(normal(text))]
+        texts = chain.from_iterable(common.in_rows(batch.column(1)))
+        rows = [(doc_id, *hit) for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True) if text for hit in matcher.find(normal(text))]
         if rows:
             types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["doc_id", "item_id", "distance", "start", "stop"])
@@ -162,10 +167,11 @@ def flag(docs: DataFrame, benchmark: DataFrame, column: str = "contaminated", ra
 
 
 def _flagger(items: list[tuple[int, str]], rate: float):
+    @common.tidily
     def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         matcher = _matcher(items, rate)
         for texts in arrays:
-            yield pa.array([bool(t) and bool(matcher.find(normal(t))) for t in texts.to_pylist()], pa.bool_())
+            yield pa.array([bool(t) and bool(matcher.find(normal(t))) for part in common.in_rows(texts) for t in part], pa.bool_())
 
     run.__annotations__ = {"arrays": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return run

@@ -13,9 +13,9 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
 from itertools import combinations
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +24,9 @@ from pyspark.sql.functions import arrow_udf
 from . import common, svm
 from .words import Scores, codepoints, score_words
 
+if TYPE_CHECKING:
+    import pandas as pd
+
 BUCKETS = 1 << 13
 UNKNOWN = "und"
 # Families of ISO 639-1 codes. A code that is not listed is a family of its own.
@@ -175,6 +178,7 @@ def _fact(word: str) -> tuple[float]:
     return (0.0,)
 
 
+@common.tidily
 def _predict(arrays: Iterator[pa.Array], model: Model, chars: int = 1 << 20) -> Iterator[pa.Array]:
     scores = Scores(model.weights.shape[1] + 1, partial(_contribution, weights=model.weights), _fact, codepoints)
     for texts in arrays:
@@ -182,17 +186,17 @@ def _predict(arrays: Iterator[pa.Array], model: Model, chars: int = 1 << 20) ->
         sure: list[float] = []
         held: list[str] = []
         weight = 0
-        for text in [*texts.to_pylist(), ""]:
-            held.append(text or "")
-            weight += len(held[-1])
-            if weight > chars:
-                for out, got in zip((langs, sure), _predict_texts(held, scores, model), strict=True):
-                    out += got.tolist()
-                held, weight = [], 0
+        for part in common.in_rows(texts):
+            for text in part:
+                held.append(text or "")
+                weight += len(held[-1])
+                if weight > chars:
+                    for out, got in zip((langs, sure), _predict_texts(held, scores, model), strict=True):
+                        out += got.tolist()
+                    held, weight = [], 0
         for out, got in zip((langs, sure), _predict_texts(held, scores, model), strict=True):
             out += got.tolist()
-        n = len(texts)
-        yield pa.StructArray.from_arrays([pa.array(langs[:n], pa.string()), pa.array(sure[:n], pa.float64())], ["lang_pred", "score"])
+        yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(sure, pa.float64())], ["lang_pred", "score"])
 
 
 def training_sample(docs: DataFrame, rows: int = 300, chars: int = 4000) -> pd.DataFrame:
@@ -205,7 +209,7 @@ def training_sample(docs: DataFrame, rows: int = 300, chars: int = 4000) -> pd.D
     usable = usable.filter(F.col("lang").isNotNull() & F.length("text").between(20, chars) & ~common.in_fold())
     counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return pd.DataFrame({"text": [], "lang": []})
+        return usable.limit(0).toPandas()[["text", "lang"]]
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, rows / n))).otherwise(share)

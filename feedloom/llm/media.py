@@ -104,6 +104,7 @@ def parse(html: str | None) -> list[tuple]:
     return _Reader().rows(html) if html else []
 
 
+@common.tidily
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("position", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("ref", pa.string()), ("caption", pa.string())]))
     names = ("position", "kind", "text", "ref", "caption")
@@ -167,6 +168,7 @@ def feature(samples: bytes) -> str:
     return f"{mean:.4f};{max(0.0, spread):.4f};" + ",".join(map(str, parts.tolist()))
 
 
+@common.tidily
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []

@@ -78,6 +78,7 @@ def _rows(bins: list[list], base: int, still_open: bool) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
+@common.tidily
 def _pack_texts(batches: Iterator[pa.RecordBatch], path: str, size: int, most: int, slack: int) -> Iterator[pa.RecordBatch]:
     units = load(JsonUnits, path)
     base = TaskContext.get().partitionId() << 32
@@ -91,23 +92,30 @@ def _pack_texts(batches: Iterator[pa.RecordBatch], path: str, size: int, most: i
                 for piece, at in enumerate(range(0, len(ids), step)):
                     own = ids[at : at + step]
                     bins.add(len(own) // 4, (doc_id, piece, at // 4, len(own) // 4, own))
-            yield from _rows(bins.drain(), base, False)
+            if len(bins.closed) >= 1024:
+                yield from _rows(bins.drain(), base, False)
+    yield from _rows(bins.drain(), base, False)
     rest = bins.rest()
     yield from _rows([b for free, b in rest if free <= slack], base, False)
     yield from _rows([b for free, b in rest if free > slack], base, True)
 
 
+@common.tidily
 def _pack_again(batches: Iterator[pa.RecordBatch], size: int, most: int) -> Iterator[pa.RecordBatch]:
     base = (1 << 62) + (TaskContext.get().partitionId() << 32)
     bins = OpenBins(size, most)
     for batch in batches:
-        for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            bins.add(row[3], row)
-        yield from _rows(bins.drain(), base, False)
+        for low in range(0, batch.num_rows, 256):
+            part = batch.slice(low, 256)
+            for row in zip(*(part.column(i).to_pylist() for i in range(5)), strict=True):
+                bins.add(row[3], row)
+            if len(bins.closed) >= 1024:
+                yield from _rows(bins.drain(), base, False)
+    yield from _rows(bins.drain(), base, False)
     yield from _rows([b for _, b in bins.rest()], base, False)
 
 
-def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", size: int = 2048, open_bins: int = 1024, slack: int = 8, partitions_together: int = 16) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", size: int = 2048, open_bins: int = 1024, slack: int = 8, partitions_together: int = 8) -> DataFrame:
     """Sequences of at most `size` tokens from documents(doc_id, text, ...).
 
     A document is its ids without added special tokens, then id 0; a null or empty

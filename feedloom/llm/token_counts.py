@@ -23,6 +23,7 @@ def content_digest(text: str = "text"):
     return F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
 
 
+@common.tidily
 def _count(batches: Iterator[pa.RecordBatch], path: str, version: str) -> Iterator[pa.RecordBatch]:
     units = load(PieceUnits, path)
     for batch in batches:

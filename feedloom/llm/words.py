@@ -12,7 +12,7 @@ import numpy as np
 
 CLASSES = 32
 MOST_LETTERS = 32
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 EDGE = 31  # stands before and after a word
 _code: dict[int, int] = {}
 
