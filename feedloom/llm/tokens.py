@@ -2,7 +2,8 @@
 
 A text is cut only where its tokenizer cannot merge across, each distinct unit is
 encoded once per worker, and a text's ids are its units' ids in order. The caches
-are bounded: a full one is emptied, which costs time and never changes a result.
+are bounded: a full one becomes the older half, whose entries are lost if they are not
+looked up until the next is full; this costs time and never changes a result.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ import os
 import re
 import unicodedata
 from array import array
+from collections.abc import Callable
 
-CACHE_UNITS = 800_000
+CACHE_UNITS = 300_000
 # The normalising and splitting rules that the parts of plain units follow.
 _RULES = (
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -52,21 +54,39 @@ def _plain_letters() -> tuple[str, str]:
 
 
 _LETTERS, _NUMBERS = _plain_letters()
-#: Units whose lower case and cutting follow from the tables of one Unicode block or two.
-_PLAIN = re.compile("[\x21-\x7e\xa1-\u012f\u0131-\u024f]*").fullmatch
-_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+").findall
+#: Any character but a space, a line feed and those whose lower case and class one Unicode block or two fix.
+_ODD = re.compile("[^ \n\x21-\x7e\xa1-\u012f\u0131-\u024f]").search
+_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^ \n{_LETTERS}{_NUMBERS}]+").findall
 
 
-class JsonUnits(dict):
-    """Unit -> little-endian uint32 ids, for a tokenizers .json file that drops white space.
+class Recent(dict):
+    """A cache of what was looked up lately: between CACHE_UNITS entries and twice as many."""
 
-    Units are runs without a space or a line feed: the normaliser maps both to a
-    space, and the splitting pattern never spans one. Special strings hold neither,
-    so they stay within a unit and are handled as the library does by default.
+    def __init__(self, make: Callable[[str], object]) -> None:
+        self.make, self.older = make, {}
 
-    A unit of plain characters is lower-cased and cut as the file says, and its parts
-    are cached in turn; a new part goes through the model alone. Other units go through
-    the whole library. A file with other rules has no parts.
+    def __missing__(self, key: str) -> object:
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
+        return found
+
+    def trim(self) -> None:
+        if len(self) > CACHE_UNITS:
+            self.older = dict(self)
+            self.clear()
+
+
+class JsonUnits:
+    """Whole texts' little-endian uint32 ids, for a tokenizers .json file that drops white space.
+
+    A text of plain characters is lower-cased and cut as the file says; each new part
+    goes through the model alone. Another text is cut into runs without a space or a
+    line feed, as the normaliser maps both to a space and the splitting pattern never
+    spans one, and new runs go through the whole library. Special strings hold neither
+    and are handled as the library does by default. A file with other rules has no
+    plain texts.
     """
 
     def __init__(self, path: str) -> None:
@@ -77,30 +97,26 @@ class JsonUnits(dict):
         self.merges = self.whole.model
         rules = json.loads(open(path, encoding="utf-8").read())
         self.known = digest_of(rules.get("normalizer"), rules.get("pre_tokenizer")) == digest_of(*_RULES)
-        self.parts: dict[str, bytes] = {}
-
-    def __missing__(self, unit: str) -> bytes:
-        if self.known and _PLAIN(unit) and "<|" not in unit:
-            words = _WORDS(unit.lower())
-            get = self.parts.get
-            ids = b"".join([get(w) or self._part(w) for w in words])
-        else:
-            ids = array("I", self.whole.encode(unit, add_special_tokens=False).ids).tobytes()
-        self[unit] = ids
-        return ids
+        self.units, self.parts = Recent(self._unit), Recent(self._part)
+
+    def _unit(self, unit: str) -> bytes:
+        return array("I", self.whole.encode(unit, add_special_tokens=False).ids).tobytes()
 
     def _part(self, word: str) -> bytes:
         shown = word if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN)
-        ids = self.parts[word] = array("I", [t.id for t in self.merges.tokenize(shown)]).tobytes()
-        return ids
+        return array("I", [t.id for t in self.merges.tokenize(shown)]).tobytes()
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        if len(self) > CACHE_UNITS:
-            self.clear()
-        if len(self.parts) > CACHE_UNITS:
-            self.parts.clear()
-        get = self.__getitem__
-        return [b"".join(map(get, (t or "").replace("\n", " ").split(" "))) for t in texts]
+        self.units.trim()
+        self.parts.trim()
+        unit, part, out = self.units.__getitem__, self.parts.__getitem__, []
+        for t in texts:
+            t = t or ""
+            if self.known and not _ODD(t) and "<|" not in t:
+                out.append(b"".join(map(part, _WORDS(t.lower()))))
+            else:
+                out.append(b"".join(map(unit, t.replace("\n", " ").split(" "))))
+        return out
 
 
 def _shown_bytes() -> dict[int, str]:
@@ -112,7 +128,7 @@ def _shown_bytes() -> dict[int, str]:
 _SHOWN = _shown_bytes()
 
 
-class PieceUnits(dict):
+class PieceUnits:
     """Unit -> number of pieces, for a sentencepiece .model file with a dummy prefix.
 
     Pieces hold a word mark only in front, and never a line feed, so single spaces
@@ -129,15 +145,11 @@ class PieceUnits(dict):
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
         self.cuts = not any(("▁" in p[1:] and p.strip("▁")) or "\n" in p for p in pieces) and [len(self.model.encode(t)) for t in ("a b", "a\nb", " a", "a")] == [2, 3, 2, 1]
         self.mark = len(self.model.encode("\n"))
-
-    def __missing__(self, unit: str) -> int:
-        n = self[unit] = len(self.model.encode(unit))
-        return n
+        self.units = Recent(lambda unit: len(self.model.encode(unit)))
 
     def counts(self, texts: list[str | None]) -> list[int]:
-        if len(self) > CACHE_UNITS:
-            self.clear()
-        get, out = self.__getitem__, []
+        self.units.trim()
+        get, out = self.units.__getitem__, []
         for t in texts:
             t = t or ""
             if not self.cuts or self._odd.search(t):
