@@ -20,7 +20,7 @@ _powers: dict[str, np.ndarray] = {}
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """B**i and B**-i modulo 2**64 for i < n."""
     if len(_powers.get("up", ())) < n:
-        size = max(n, 1 << 16)
+        size = max(n, 1 << 12)
         for name, b in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             p = np.full(size, U(b))
             p[0] = 1

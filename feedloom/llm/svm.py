@@ -5,18 +5,20 @@ from __future__ import annotations
 import numpy as np
 
 
-def fit(x: np.ndarray, y: np.ndarray, cost: float = 1.0, weight: np.ndarray | None = None, steps: int = 30, block: int = 8192) -> tuple[np.ndarray, float]:
+def fit(x: np.ndarray, y: np.ndarray, cost: float = 1.0, weight: np.ndarray | None = None, steps: int = 30, block: int = 8192, pick: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """(w, b) for labels +1 and -1; the loss of row i counts weight[i] times.
 
-    Rows are widened to double precision a block at a time, so x may be single.
+    Rows are widened to double precision a block at a time, so x may be single. With
+    pick, row i is x[pick[i]].
     """
-    n, d = x.shape
+    pick = np.arange(len(x)) if pick is None else pick
+    n, d = len(pick), x.shape[1]
     weight = np.ones(n) if weight is None else weight
     ridge = np.append(np.ones(d), 1e-6)
     w = np.zeros(d + 1)
 
     def margins(w: np.ndarray) -> np.ndarray:
-        return np.concatenate([x[low : low + block].astype(float) @ w[:-1] + w[-1] for low in range(0, n, block)])
+        return np.concatenate([x[pick[low : low + block]].astype(float) @ w[:-1] + w[-1] for low in range(0, n, block)])
 
     def loss(gap: np.ndarray, w: np.ndarray) -> float:
         gap = np.maximum(0, gap)
@@ -29,7 +31,7 @@ def fit(x: np.ndarray, y: np.ndarray, cost: float = 1.0, weight: np.ndarray | No
         on = np.flatnonzero(gap > 0)
         for low in range(0, len(on), block):
             at = on[low : low + block]
-            z = np.hstack((x[at].astype(float), np.ones((len(at), 1))))
+            z = np.hstack((x[pick[at]].astype(float), np.ones((len(at), 1))))
             c = cost * weight[at]
             grad = grad - z.T @ (c * y[at] * gap[at])
             hess = hess + (z * c[:, None]).T @ z

@@ -6,14 +6,19 @@ characters weighs DECAY**s, up to SPAN characters, so inserted or gapped charact
 lower a match and don't undo it. Characters other than letters are left out, and
 three or more single letters in a row make one word.
 
-Landmarks are words of the sample: up to half of them words with the four-letter
-runs that tell the classes apart most, the others drawn by seed; after the first
-round the clean words that look most toxic are added. Words are embedded as K(u, Z) K(Z, Z)**-1/2. The
-machine is trained on the sentences of labelled documents. A sentence is as toxic as
-its most toxic word (a latent choice, made anew in every round), a document as its
-most toxic sentence: all words of clean sentences are negatives; a toxic document's
-sentences first all take its label, then those with words whose runs occur in toxic documents far above chance, and of a
-document without any its most toxic ones, if the machine finds them toxic.
+Landmarks are words of the sample: up to half of them words with the runs of four to
+six letters that tell the classes apart most, the others drawn by seed; after the
+first round the clean words that look most toxic are added. Words are embedded as
+K(u, Z) K(Z, Z)**-1/2.
+
+The machine is trained on the sentences of labelled documents, copies left out. A
+sentence is as toxic as its most toxic word (a latent choice, made anew in every
+round) and a document as its most toxic sentence, so where sentences end drops out
+of the maximum. All words of clean sentences are negatives. A toxic document's
+sentences first all take its label; then those count whose words have runs that
+occur in toxic documents far above chance, and of a document without any its most
+toxic ones, if the machine finds them toxic. Words found toxic are also trained on
+with a letter put in.
 
 As K(u, Z) times any vector is linear in the subsequences, the trained machine folds
 into one weight per subsequence; scoring adds weights and never calls the kernel.
@@ -21,18 +26,23 @@ into one weight per subsequence; scoring adds weights and never calls the kernel
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import partial
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, svm
-from .words import CLASSES, EDGE, MOST_LETTERS, Scores, by_length, letters, parts, score_words
+from .shingles import shingle_sets
+from .words import CLASSES, MOST_LETTERS, Scores, by_length, letters, parts, score_words
+
+if TYPE_CHECKING:
+    import pandas as pd
 
 SPAN, DECAY = 7, 0.85
 COST = 0.1
@@ -131,15 +141,42 @@ def _facts(word: str) -> tuple[float]:
     return (float(len(word) < 4 and sum(c.isalpha() for c in word) == 1),)
 
 
+def _originals(texts: list[str], k: int = 64) -> list[int]:
+    """Numbers of the texts that share less than a third of their sketch with every earlier one kept.
+
+    What copies repeat is no evidence; the sketches are bottom-k ones of 4-word shingles.
+    """
+    kept, holders = [], {}
+    for i, own in enumerate(shingle_sets(texts, 4, limit=1 << 16)):
+        low = own[:k].tolist()
+        shared = Counter(j for v in low for j in holders.get(v, ()))
+        if not shared or 3 * max(shared.values()) < len(low):
+            kept.append(i)
+            for v in low:
+                holders.setdefault(v, []).append(i)
+    return kept
+
+
+RUNS = (4, 5, 6)
+RUN_BUCKETS = 1 << 20
+
+
 def _grams(words: list[str]) -> list[np.ndarray]:
-    """The four-letter runs of each word's letters, edges included."""
+    """Hashes of the runs of four to six letters of each word, edges included."""
     out: list[np.ndarray] = [np.empty(0, np.int64)] * len(words)
     bare = ["".join(filter(str.isalpha, w))[:MOST_LETTERS] for w in words]
     for n, at in by_length(bare).items():
         if n >= 2:
             rows = letters([bare[i] for i in at])
-            codes = ((rows[:, :-3] * CLASSES + rows[:, 1:-2]) * CLASSES + rows[:, 2:-1]) * CLASSES + rows[:, 3:]
-            for i, c in zip(at, codes, strict=True):
+            codes = []
+            for size in RUNS:
+                width = rows.shape[1] - size + 1
+                if width > 0:
+                    run = np.full((len(rows), width), size, np.uint64)
+                    for k in range(size):
+                        run = (run ^ rows[:, k : width + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                    codes.append((run >> np.uint64(44)).astype(np.int64))
+            for i, c in zip(at, np.concatenate(codes, axis=1), strict=True):
                 out[i] = c
     return out
 
@@ -185,10 +222,12 @@ class Landmarks:
                 out[row[first]] += w * np.add.reduceat(self.basis[at[row, col]], first, axis=0)
         return out / _norm(letter_rows)[:, None]
 
-    def embed(self, words: list[str]) -> np.ndarray:
-        out = np.empty((len(words), self.basis.shape[1]), np.float32)
+    def embed(self, words: list[str], spare: int = 0) -> np.ndarray:
+        """A row per word, and `spare` rows of zeros."""
+        out = np.zeros((len(words) + spare, self.basis.shape[1]), np.float32)
         for low in range(0, len(words), 4096):
-            out[low : low + 4096] = score_words(words[low : low + 4096], out.shape[1], self._rows)
+            part = words[low : low + 4096]
+            out[low : low + len(part)] = score_words(part, out.shape[1], self._rows)
         return out
 
     def folded(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,6 +242,7 @@ def fit(sample: pd.DataFrame, landmarks: int = 128, rounds: int = 3, seed: int =
     label, or not toxic.
     """
     sample = sample.dropna(subset=["toxic"]).sort_values(["toxic", "text"], kind="stable")
+    sample = sample.iloc[_originals(sample.text.tolist())]
     docs = [split(t) for t in sample.text]
     y = sample.toxic.to_numpy(int)
     if len(set(y)) < 2:
@@ -217,12 +257,11 @@ def fit(sample: pd.DataFrame, landmarks: int = 128, rounds: int = 3, seed: int =
         seen[label, np.unique(r)] += 1
     grams = _grams(words)
     counts = np.bincount(y, minlength=2)
-    hits = np.zeros((2, CLASSES**4))
+    hits = np.zeros((2, RUN_BUCKETS))
     for r, label in zip(rows, y, strict=True):
         hits[label, np.unique(np.concatenate([grams[i] for i in np.unique(r)] or [np.empty(0, np.int64)]))] += 1
     telling = _surprise(hits, counts, 10.0)
-    there = hits.sum(0) > 0
-    bar = np.log(there.sum() + 1) + 2
+    bar = np.log(np.count_nonzero(hits.sum(0)) + 1) + 2
     best_gram = np.array([telling[g].max(initial=0) for g in grams])
     suspect = _surprise(seen, counts, 2.5) > 0
     strong = suspect & (best_gram > bar)  # with letters that toxic documents have above any chance
@@ -237,6 +276,7 @@ def fit(sample: pd.DataFrame, landmarks: int = 128, rounds: int = 3, seed: int =
             covered.update(strongest)
     others = np.flatnonzero(usable)
     chosen += list(np.random.default_rng(seed).permutation(others)[: landmarks - len(chosen)])
+    del grams, hits, telling
     flat, of = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     clean = np.flatnonzero(seen[0])
     explained = np.zeros(len(docs), bool)
@@ -248,20 +288,21 @@ def fit(sample: pd.DataFrame, landmarks: int = 128, rounds: int = 3, seed: int =
     space = None
     for step in range(rounds):
         if step < 2:
+            table = None
             space = Landmarks([words[i] for i in dict.fromkeys(chosen)])
-            table = space.embed(words)
+            table = space.embed(words, spare=3 * SPOILT)
         pos = np.flatnonzero(toxic)
         # the words found toxic stand with a letter put in somewhere, too
         often = pos[np.argsort(-toxic[pos], kind="stable")][:SPOILT]
-        spoilt = space.embed([_spoil(words[i], rng) for i in often for _ in range(3)])
-        x = np.concatenate((table[np.concatenate((clean, pos))], spoilt))
-        sign = np.concatenate((-np.ones(len(clean)), np.ones(len(pos) + len(spoilt))))
-        share = np.concatenate((np.log1p(seen[0][clean]), toxic[pos], np.repeat(toxic[often] / 3, 3)))
+        extra = len(words) + np.arange(3 * len(often))
+        table[extra] = space.embed([_spoil(words[i], rng) for i in often for _ in range(3)])
+        pick = np.concatenate((clean, pos, extra))
+        sign = np.concatenate((-np.ones(len(clean)), np.ones(len(pos) + len(extra))))
+        share = np.concatenate((np.log1p(seen[0][clean]), toxic[pos], np.repeat(toxic[often], 3)))
         for s in (-1, 1):
             share[sign == s] *= 0.5 * len(sign) / share[sign == s].sum()
-        w, b = svm.fit(x, sign, cost=COST, weight=share)
-        del x
-        margin = table @ w.astype(np.float32) + b
+        w, b = svm.fit(table, sign, cost=COST, weight=share, pick=pick)
+        margin = table[: len(words)] @ w.astype(np.float32) + b
         best = np.full(len(docs), -np.inf)
         np.maximum.at(best, of, margin[flat])
         top = np.full(len(docs), -np.inf)
@@ -279,6 +320,7 @@ def fit(sample: pd.DataFrame, landmarks: int = 128, rounds: int = 3, seed: int =
     return Model(*space.folded(w), b, slope, shift)
 
 
+@common.tidily
 def _score(arrays: Iterator[pa.Array], model: Model, chars: int = 1 << 20) -> Iterator[pa.Array]:
     dense = model.dense()
     scores = Scores(1, partial(_margin_kernel, dense=dense), _facts)
@@ -286,12 +328,13 @@ def _score(arrays: Iterator[pa.Array], model: Model, chars: int = 1 << 20) -> It
         out: list[np.ndarray] = []
         held: list[str] = []
         weight = 0
-        for text in texts.to_pylist():
-            held.append(text or "")
-            weight += len(held[-1])
-            if weight > chars:
-                out.append(_score_texts(held, scores, model))
-                held, weight = [], 0
+        for part in common.in_rows(texts):
+            for text in part:
+                held.append(text or "")
+                weight += len(held[-1])
+                if weight > chars:
+                    out.append(_score_texts(held, scores, model))
+                    held, weight = [], 0
         out.append(_score_texts(held, scores, model))
         yield pa.array(np.concatenate(out))
 
@@ -327,7 +370,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = 1200, chars:
         picked = part if picked is None else picked.union(part)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.length("text").between(1, chars))
     found = texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).toPandas()
-    return pd.concat([g.assign(h=[hash_(i) for i in g.doc_id]).sort_values("h").head(rows) for _, g in found.groupby("toxic")] or [found])[["text", "toxic"]]
+    found["h"] = [hash_(i) for i in found.doc_id]
+    return found.sort_values("h").groupby("toxic").head(rows)[["text", "toxic"]]
 
 
 def hash_(i: int) -> int:
@@ -353,6 +397,3 @@ def with_toxicity(docs: DataFrame, model: Model, column: str = "toxicity") -> Da
     and row order stay as they are.
     """
     return docs.withColumn(column, scorer(model)(F.col("text")))
-
-
-assert EDGE < CLASSES
