@@ -40,9 +40,10 @@ BROADCAST_ROWS = 100_000  # of two numbers each
 SKETCH = "doc_id long, print long, n_shingles long, hi long, lo long, sketch array<long>"
 
 
+@common.tidily
 def _sketch(batches: Iterator[pa.RecordBatch], size: int, k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(len(own), *digest(own), own[:k]) for own in shingle_sets(batch.column(1).to_pylist(), size)]
+        rows = [(len(own), *digest(own), own[:k].copy()) for texts in common.in_rows(batch.column(1)) for own in shingle_sets(texts, size)]
         if rows:
             n, hi, lo, low = zip(*rows, strict=True)
             flat = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in low]))), pa.int32()), pa.array(np.concatenate(low), pa.int64()))
@@ -82,6 +83,7 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         yield held
 
 
+@common.tidily
 def _verify(batches: Iterator[pa.RecordBatch], size: int, k: int, percent: int, margin: float) -> Iterator[pa.RecordBatch]:
     """Links of each unit: (a, b) with 100 * |A & B| >= percent * |A | B|.
 
@@ -194,7 +196,7 @@ def _classes(docs: DataFrame, size: int, percent: int, k: int, star_shingles: in
     members = stars.select("uid").union(stars.select("leader")).union(index.select("uid")).distinct()
     wanted = own.drop("sketch", "n_shingles").join(members, "uid", "left_semi")
     source = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    texts = scratch(wanted.join(source.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("id"))).select("uid", "hi", "lo", "text"), "texts")
+    texts = scratch(source.join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("doc_id"))).select("uid", "hi", "lo", "text"), "texts")
 
     def verify(assigned: DataFrame) -> DataFrame:
         there = assigned.join(texts, "uid").select("unit", "side", "uid", "comp", "hi", "lo", "text")
