@@ -13,6 +13,8 @@ from feedloom.llm import common, decontaminate, language, near_dup, packing, tox
 
 #: A text is kept if its language is known with at least this probability.
 LEAST_LANGUAGE_SCORE = 0.1
+#: And if its trigrams are less strange than this to every learned language.
+MOST_STRANGE = 0.25
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +27,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or of no language that the labelled rows teach, go."""
     model = language.fit(language.training_sample(docs))
-    known = (F.col("_language.lang_pred") != language.UNKNOWN) & (F.col("_language.score") >= LEAST_LANGUAGE_SCORE)
+    known = (F.col("_language.lang_pred") != language.UNKNOWN) & (F.col("_language.score") >= LEAST_LANGUAGE_SCORE) & (F.col("_language.strange") < MOST_STRANGE)
     return language.with_language(docs, model, "_language").filter(known).drop("_language")
 
 

@@ -5,6 +5,10 @@ word edges included) of its words. One-versus-one linear support vector machines
 tell the families apart, and others, trained on one family's texts only, each pair of
 languages within it. All of them are linear in the n-grams, so a word's contribution
 to every machine is computed once and looked up.
+
+The machines only tell the learned languages apart. Whether a text is in any of them is
+told by its letter trigrams: a word has the log probability of the language that gives
+it most, and a text's mean is compared with that of the training texts.
 """
 
 from __future__ import annotations
@@ -22,12 +26,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from . import common, svm
-from .words import Scores, codepoints, score_words
+from .words import Scores, by_length, codepoints, parts
 
 if TYPE_CHECKING:
     import pandas as pd
 
 BUCKETS = 1 << 13
+TRIGRAM_BUCKETS = 1 << 16
+PRIOR = 0.5  # added to every trigram's count
+DOUBT = 10  # so many trigrams as in a typical text are added to a text: a short one proves less
 UNKNOWN = "und"
 # Families of ISO 639-1 codes. A code that is not listed is a family of its own.
 FAMILIES = {
@@ -61,24 +68,33 @@ class Model:
     families: tuple[str, ...]
     between: tuple[Machine, ...]
     within: dict[str, tuple[tuple[str, ...], tuple[Machine, ...]]]
+    trigrams: np.ndarray  # TRIGRAM_BUCKETS x languages, log probabilities
+    typical: float  # the mean of a median training text under the others
+    unseen: float  # the log probability of a trigram that no text has
 
 
-def _buckets(rows: np.ndarray) -> Iterator[np.ndarray]:
-    for size in (1, 2, 3):
+def _buckets(rows: np.ndarray, sizes: tuple[int, ...] = (1, 2, 3), count: int = BUCKETS) -> Iterator[np.ndarray]:
+    for size in sizes:
         n = rows.shape[1] - size + 1
         if n > 0:
             h = np.full((len(rows), n), size, np.uint64)
             for i in range(size):
                 h = (h ^ rows[:, i : n + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            yield (h >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+            yield (h >> np.uint64(64 - count.bit_length() + 1)).astype(np.int64)
+
 
+def _contribution(rows: np.ndarray, weights: np.ndarray, trigrams: np.ndarray) -> np.ndarray:
+    """Summed weights of a word's n-grams for every machine and how many n-grams there are.
 
-def _contribution(rows: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Summed weights of a word's n-grams for every machine, then how many n-grams there are."""
-    out = np.zeros((len(rows), weights.shape[1] + 1))
+    Then the log probability of its trigrams in the likeliest language, and their number.
+    """
+    out = np.zeros((len(rows), weights.shape[1] + 3))
     for at in _buckets(rows):
-        out[:, :-1] += weights[at].sum(1)
-        out[:, -1] += at.shape[1]
+        out[:, :-3] += weights[at].sum(1)
+        out[:, -3] += at.shape[1]
+    for at in _buckets(rows, (3,), TRIGRAM_BUCKETS):
+        out[:, -2] = trigrams[at].sum(1).max(1)
+        out[:, -1] = at.shape[1]
     return out
 
 
@@ -117,6 +133,39 @@ def features(texts: list[str]) -> np.ndarray:
 SCALE = 10.0
 
 
+def _trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The bucket of each letter trigram of a text, and the number of the word that has it."""
+    bare = [piece for word in text.lower().split() for piece in parts("".join(filter(str.isalpha, word))) if piece]
+    buckets, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for rows in by_length(bare).values():
+        for at in _buckets(codepoints([bare[i] for i in rows]), (3,), TRIGRAM_BUCKETS):
+            buckets.append(at.ravel())
+            owners.append(np.repeat(rows, at.shape[1]))
+    return np.concatenate(buckets), np.concatenate(owners)
+
+
+def _likelihoods(texts: list[str], langs: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """Model.trigrams, .typical and .unseen; each text is judged without its own counts."""
+    names, column = np.unique(langs, return_inverse=True)
+    cut = [_trigrams(t) for t in texts]
+    counts = np.zeros((TRIGRAM_BUCKETS, len(names)))
+    for (at, _), k in zip(cut, column, strict=True):
+        np.add.at(counts[:, k], at, 1)
+    space = counts.sum(0) + PRIOR * TRIGRAM_BUCKETS
+    table = np.log((counts + PRIOR) / space)
+    means = []
+    for (at, owner), k in zip(cut, column, strict=True):
+        if len(at):
+            own, back, n = np.unique(at, return_inverse=True, return_counts=True)
+            rows = table[own]
+            rows[:, k] = np.log((counts[own, k] - n + PRIOR) / (space[k] - len(at)))
+            words = np.zeros((owner.max() + 1, len(names)))
+            np.add.at(words, owner, rows[back])
+            means.append(words.max(1).sum() / len(at))
+    unseen = float(np.log(PRIOR / space.max())) if len(names) else 0.0
+    return table.astype(np.float32), float(np.median(means)) if means else unseen, unseen
+
+
 def fit(sample: pd.DataFrame, cost: float = 10.0) -> Model:
     """Train on rows (text, lang); any order gives the same model. No rows: every text is `und`."""
     sample = sample.dropna().sort_values(["lang", "text"], kind="stable")
@@ -131,7 +180,7 @@ def fit(sample: pd.DataFrame, cost: float = 10.0) -> Model:
         columns += [w for _, w in pairs]
         within[str(name)] = (tuple(sorted(map(str, set(langs[own])))), tuple(m for m, _ in pairs))
     weights = np.stack(columns, 1) * SCALE if columns else np.zeros((BUCKETS, 0))
-    return Model(weights, tuple(sorted(map(str, set(families)))), tuple(m for m, _ in between), within)
+    return Model(weights, tuple(sorted(map(str, set(families)))), tuple(m for m, _ in between), within, *_likelihoods(sample.text.tolist(), langs))
 
 
 def _vote(names: tuple[str, ...], machines: tuple[Machine, ...], margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,19 +198,26 @@ def _vote(names: tuple[str, ...], machines: tuple[Machine, ...], margins: np.nda
     return best, worst[np.arange(len(margins)), best]
 
 
-def _predict_texts(texts: list[str], scores: Scores, model: Model) -> tuple[np.ndarray, np.ndarray]:
+def _strangeness(total: np.ndarray, many: np.ndarray, model: Model) -> np.ndarray:
+    """From summed log probabilities of `many` trigrams: 0 as in a typical training text, towards 1 as if none was ever seen."""
+    range_ = max(model.typical - model.unseen, 1e-9)
+    return np.clip((model.typical - total / many) / range_ * many / (many + DOUBT), 0.0, 1.0)
+
+
+def _predict_texts(texts: list[str], scores: Scores, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     cut = [t.lower().split() for t in texts]
     size = np.array([len(c) for c in cut], np.int64)
-    lang, score = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts))
+    lang, score, strange = np.full(len(texts), UNKNOWN, dtype=object), np.zeros(len(texts)), np.ones(len(texts))
     words = [w for c in cut for w in c]
     if not words or not model.families:
-        return lang, score
+        return lang, score, strange
     at = scores.rows(words)
     some = np.flatnonzero(size)
     total = np.add.reduceat(scores.table[at], (np.cumsum(size) - size)[some], axis=0)
     real = total[:, -1] > 0
     some, total = some[real], total[real]
-    margins = total[:, :-1] / total[:, -1:]
+    margins = total[:, :-3] / total[:, -3:-2]
+    strange[some] = _strangeness(total[:, -2], total[:, -1], model)
     family, sure = _vote(model.families, model.between, margins)
     used = len(model.between)
     for i, name in enumerate(sorted(model.within)):
@@ -171,7 +227,7 @@ def _predict_texts(texts: list[str], scores: Scores, model: Model) -> tuple[np.n
         lang[some[rows]] = np.array(names, dtype=object)[best]
         score[some[rows]] = sure[rows] * own
         used += len(machines)
-    return lang, score
+    return lang, score, strange
 
 
 def _fact(word: str) -> tuple[float]:
@@ -180,10 +236,11 @@ def _fact(word: str) -> tuple[float]:
 
 @common.tidily
 def _predict(arrays: Iterator[pa.Array], model: Model, chars: int = 1 << 20) -> Iterator[pa.Array]:
-    scores = Scores(model.weights.shape[1] + 1, partial(_contribution, weights=model.weights), _fact, codepoints)
+    scores = Scores(model.weights.shape[1] + 3, partial(_contribution, weights=model.weights, trigrams=model.trigrams), _fact, codepoints)
     for texts in arrays:
         langs: list[str] = []
         sure: list[float] = []
+        odd: list[float] = []
         held: list[str] = []
         weight = 0
         for part in common.in_rows(texts):
@@ -191,12 +248,12 @@ def _predict(arrays: Iterator[pa.Array], model: Model, chars: int = 1 << 20) ->
                 held.append(text or "")
                 weight += len(held[-1])
                 if weight > chars:
-                    for out, got in zip((langs, sure), _predict_texts(held, scores, model), strict=True):
+                    for out, got in zip((langs, sure, odd), _predict_texts(held, scores, model), strict=True):
                         out += got.tolist()
                     held, weight = [], 0
-        for out, got in zip((langs, sure), _predict_texts(held, scores, model), strict=True):
+        for out, got in zip((langs, sure, odd), _predict_texts(held, scores, model), strict=True):
             out += got.tolist()
-        yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(sure, pa.float64())], ["lang_pred", "score"])
+        yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(sure, pa.float64()), pa.array(odd, pa.float64())], ["lang_pred", "score", "strange"])
 
 
 def training_sample(docs: DataFrame, rows: int = 300, chars: int = 4000) -> pd.DataFrame:
@@ -219,19 +276,21 @@ def training_sample(docs: DataFrame, rows: int = 300, chars: int = 4000) -> pd.D
 
 
 def predictor(model: Model):
-    """A column function: text -> struct(lang_pred, score)."""
+    """A column function: text -> struct(lang_pred, score, strange)."""
 
     def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
         return _predict(arrays, model)
 
     run.__annotations__ = {"arrays": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return arrow_udf(run, "lang_pred string, score double")
+    return arrow_udf(run, "lang_pred string, score double, strange double")
 
 
 def with_language(docs: DataFrame, model: Model, column: str = "language") -> DataFrame:
-    """docs with a struct column (lang_pred, score from 0 to 1) over whole texts.
+    """docs with a struct column (lang_pred, score and strange from 0 to 1) over whole texts.
+
+    The score compares the learned languages only; a text in none of them is strange.
 
     One narrow pass; only the text goes through Python. A null text and one without a
-    letter are `und` with score 0. Other columns and repeated rows stay as they are.
+    letter are `und` with score 0, and strange 1. Other columns and repeated rows stay as they are.
     """
     return docs.withColumn(column, predictor(model)(F.col("text")))
