@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from . import common, svm
-from .words import Scores, by_length, codepoints, parts
+from .words import Scores, characters, codepoints
 
 if TYPE_CHECKING:
     import pandas as pd
@@ -36,7 +36,7 @@ TRIGRAM_BUCKETS = 1 << 16
 PRIOR = 0.5  # added to every trigram's count
 DOUBT = 10  # so many trigrams as in a typical text are added to a text: a short one proves less
 UNKNOWN = "und"
-# Families of ISO 639-1 codes. A code that is not listed is a family of its own.
+# Families of ISO 639-1 codes. A code that is not listed is a family of its own.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af", "lb", "fy", "yi"),
     "romance": ("fr", "es", "it", "pt", "ca", "gl", "ro", "oc"),
@@ -73,14 +73,21 @@ class Model:
     unseen: float  # the log probability of a trigram that no text has
 
 
-def _buckets(rows: np.ndarray, sizes: tuple[int, ...] = (1, 2, 3), count: int = BUCKETS) -> Iterator[np.ndarray]:
+def _hashed(grams: list[np.ndarray], count: int) -> np.ndarray:
+    """The bucket of each n-gram, given the characters at each of its places."""
+    h = np.full(grams[0].shape, len(grams), np.uint64)
+    for c in grams:
+        h = (h ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    return (h >> np.uint64(64 - count.bit_length() + 1)).astype(np.int64)
+
+
+def _buckets(rows: np.ndarray, sizes: tuple[int, ...] = (1, 2, 3), count: int = BUCKETS, step: int = 1 << 14) -> Iterator[np.ndarray]:
+    """The buckets of each row's n-grams, every n-gram once, at most `step` of a row at a time."""
     for size in sizes:
         n = rows.shape[1] - size + 1
-        if n > 0:
-            h = np.full((len(rows), n), size, np.uint64)
-            for i in range(size):
-                h = (h ^ rows[:, i : n + i].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-            yield (h >> np.uint64(64 - count.bit_length() + 1)).astype(np.int64)
+        for low in range(0, n, step):
+            high = min(n, low + step)
+            yield _hashed([rows[:, low + i : high + i] for i in range(size)], count)
 
 
 def _contribution(rows: np.ndarray, weights: np.ndarray, trigrams: np.ndarray) -> np.ndarray:
@@ -92,41 +99,51 @@ def _contribution(rows: np.ndarray, weights: np.ndarray, trigrams: np.ndarray) -
     for at in _buckets(rows):
         out[:, :-3] += weights[at].sum(1)
         out[:, -3] += at.shape[1]
+    total = np.zeros((len(rows), trigrams.shape[1]))
     for at in _buckets(rows, (3,), TRIGRAM_BUCKETS):
-        out[:, -2] = trigrams[at].sum(1).max(1)
-        out[:, -1] = at.shape[1]
+        total += trigrams[at].sum(1)
+        out[:, -1] += at.shape[1]
+    if total.size:
+        out[:, -2] = total.max(1)
     return out
 
 
-def _pairs(x: np.ndarray, names: np.ndarray, cost: float) -> list[tuple[Machine, np.ndarray]]:
+def _pairs(x: np.ndarray, gram: np.ndarray, names: np.ndarray, cost: float) -> list[tuple[Machine, np.ndarray]]:
+    """A machine and its weights for every two names; gram is x @ x.T, as there are fewer texts than buckets."""
     out = []
     for yes, no in combinations(sorted(set(names)), 2):
-        use = (names == yes) | (names == no)
+        use = np.flatnonzero((names == yes) | (names == no))
         sign = np.where(names[use] == yes, 1.0, -1.0)
         weight = np.where(sign > 0, 0.5 / (sign > 0).sum(), 0.5 / (sign < 0).sum()) * len(sign)
-        # through the Gram matrix: there are fewer texts than buckets
-        xs = x[use]
-        values, vectors = np.linalg.eigh(xs @ xs.T)
+        own = gram[np.ix_(use, use)]
+        values, vectors = np.linalg.eigh(own)
         keep = values > 1e-10 * values.max()
         root = np.sqrt(values[keep])
         w, b = svm.fit(vectors[:, keep] * root, sign, cost=cost, weight=weight)
-        folded = xs.T @ (vectors[:, keep] @ (w / root))
-        slope, _ = svm.platt(xs @ folded + b, (sign > 0).astype(int))
-        out.append((Machine(str(yes), str(no), b, slope), folded))
+        dual = vectors[:, keep] @ (w / root)
+        slope, _ = svm.platt(own @ dual + b, (sign > 0).astype(int))
+        out.append((Machine(str(yes), str(no), b, slope), x[use].T @ dual))
     return out
 
 
+def _stream(text: str) -> np.ndarray:
+    """The characters of a text's words' letters, a zero on either side of each word."""
+    held = [w for w in ("".join(filter(str.isalpha, w)) for w in text.lower().split()) if w]
+    return characters("\0" + "\0\0".join(held) + "\0") if held else np.zeros(0, np.uint32)
+
+
 def features(texts: list[str]) -> np.ndarray:
     """One row of n-gram shares per text, scaled so that a typical one has length 1."""
     out = np.zeros((len(texts), BUCKETS))
     for i, text in enumerate(texts):
-        words, counts = np.unique(text.lower().split(), return_counts=True)
-        for word, n in zip(words.tolist(), counts, strict=True):
-            bare = "".join(filter(str.isalpha, word))
-            if bare:
-                for at in _buckets(codepoints([bare])):
-                    np.add.at(out[i], at[0], n)
-        out[i] /= max(1.0, out[i].sum())
+        row = _stream(text)
+        if len(row):
+            one, two, three = row, row[1:], row[2:]
+            # no n-gram goes over the two zeros between words
+            pair, triple = (one[:-1] != 0) | (two != 0), two[:-1] != 0
+            for grams in ([one], [one[:-1][pair], two[pair]], [one[:-2][triple], two[:-1][triple], three[triple]]):
+                out[i] += np.bincount(_hashed(grams, BUCKETS), minlength=BUCKETS)
+            out[i] /= out[i].sum()
     return out * SCALE
 
 
@@ -135,13 +152,12 @@ SCALE = 10.0
 
 def _trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The bucket of each letter trigram of a text, and the number of the word that has it."""
-    bare = [piece for word in text.lower().split() for piece in parts("".join(filter(str.isalpha, word))) if piece]
-    buckets, owners = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for rows in by_length(bare).values():
-        for at in _buckets(codepoints([bare[i] for i in rows]), (3,), TRIGRAM_BUCKETS):
-            buckets.append(at.ravel())
-            owners.append(np.repeat(rows, at.shape[1]))
-    return np.concatenate(buckets), np.concatenate(owners)
+    row = _stream(text)
+    if not len(row):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.flatnonzero(row[1:-1] != 0)
+    owner = np.cumsum((row[:-1] == 0) & (row[1:] != 0))[at] - 1
+    return _hashed([row[at], row[at + 1], row[at + 2]], TRIGRAM_BUCKETS), owner
 
 
 def _likelihoods(texts: list[str], langs: np.ndarray) -> tuple[np.ndarray, float, float]:
@@ -172,11 +188,12 @@ def fit(sample: pd.DataFrame, cost: float = 10.0) -> Model:
     langs = sample.lang.to_numpy(str)
     families = np.array([family_of(x) for x in langs], dtype=str)
     x = features(sample.text.tolist())
-    between = _pairs(x, families, cost)
+    gram = x @ x.T
+    between = _pairs(x, gram, families, cost)
     within, columns = {}, [w for _, w in between]
     for name in sorted(set(families)):
-        own = families == name
-        pairs = _pairs(x[own], langs[own], cost)
+        own = np.flatnonzero(families == name)
+        pairs = _pairs(x[own], gram[np.ix_(own, own)], langs[own], cost)
         columns += [w for _, w in pairs]
         within[str(name)] = (tuple(sorted(map(str, set(langs[own])))), tuple(m for m, _ in pairs))
     weights = np.stack(columns, 1) * SCALE if columns else np.zeros((BUCKETS, 0))
@@ -256,23 +273,23 @@ def _predict(arrays: Iterator[pa.Array], model: Model, chars: int = 1 << 20) ->
         yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(sure, pa.float64()), pa.array(odd, pa.float64())], ["lang_pred", "score", "strange"])
 
 
-def training_sample(docs: DataFrame, rows: int = 300, chars: int = 4000) -> pd.DataFrame:
-    """About `rows` texts of each language, of 20 to `chars` characters, outside the held-out fold.
+def training_sample(docs: DataFrame, rows: int = 300, chars: int = 4000, languages: int = 200) -> pd.DataFrame:
+    """At most `rows` texts of each language, of 20 to `chars` characters, outside the held-out fold.
 
-    A row is taken if the hash of its doc_id is low enough for its language; at most
-    2 * rows * (number of languages) rows come to the driver.
+    Rows are taken by the hash of doc_id, of the `languages` languages with most rows. A
+    doc_id that repeats within a language has its least text, so any run takes the same.
     """
     usable = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
     usable = usable.filter(F.col("lang").isNotNull() & F.length("text").between(20, chars) & ~common.in_fold())
-    counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
     if not counts:
         return usable.limit(0).toPandas()[["text", "lang"]]
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, rows / n))).otherwise(share)
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / (1 << 20)
-    got = usable.filter(draw < share).limit(2 * rows * len(counts)).toPandas()
-    return got.sort_values("doc_id")[["text", "lang"]]
+    # half as many again, as the draw is by chance; the rest goes below
+    share = F.create_map(*(F.lit(v) for r in counts for v in (r.lang, min(1.0, 1.5 * rows / r.n))))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    drawn = usable.withColumn("draw", draw).filter(F.col("draw") < F.element_at(share, F.col("lang")) * (1 << 20))
+    got = drawn.groupBy("lang", "doc_id", "draw").agg(F.min("text").alias("text")).toPandas()
+    return got.sort_values(["draw", "doc_id"], kind="stable").groupby("lang").head(rows).sort_values(["doc_id", "lang"])[["text", "lang"]]
 
 
 def predictor(model: Model):
@@ -291,6 +308,9 @@ def with_language(docs: DataFrame, model: Model, column: str = "language") -> Da
     The score compares the learned languages only; a text in none of them is strange.
 
     One narrow pass; only the text goes through Python. A null text and one without a
-    letter are `und` with score 0, and strange 1. Other columns and repeated rows stay as they are.
+    letter are `und` with score 0, and strange 1; equal texts get equal values, and ties
+    between languages go to the first by name. A word of any length counts whole. An empty
+    table gives an empty result; other columns (one named `column` is replaced) and
+    repeated rows stay as they are.
     """
     return docs.withColumn(column, predictor(model)(F.col("text")))

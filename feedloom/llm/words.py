@@ -1,7 +1,8 @@
 """Words as rows of letter classes, and scores of words cached per worker.
 
-Linear and kernel models here are additive over words, so a word's contribution is
-computed once and then looked up. Caches are bounded and emptied when full.
+Linear and kernel models here are additive over words or take their maximum, so a
+word's contribution is computed once and then looked up. A kernel gets words of one
+length, of any length, whole. Caches are bounded and emptied when full.
 """
 
 from __future__ import annotations
@@ -11,8 +12,9 @@ from collections.abc import Callable
 import numpy as np
 
 CLASSES = 32
-MOST_LETTERS = 32
+CELLS = 1 << 17  # letters that a kernel gets at once, or one word
 CACHE_WORDS = 200_000
+CACHE_LETTERS = 1 << 23
 EDGE = 31  # stands before and after a word
 _code: dict[int, int] = {}
 
@@ -24,26 +26,32 @@ def letter_class(c: int) -> int:
     return 27 + c % 4 if c > 127 and chr(c).isalpha() else 0
 
 
-def codepoints(words: list[str]) -> np.ndarray:
-    """The characters of equally long words, one row each, a zero on either side."""
-    chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1)
-    return np.pad(chars.astype(np.int64), ((0, 0), (1, 1)))
+_LOW = np.array([letter_class(c) for c in range(0x250)], np.uint8)
+
 
+def characters(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
-def letters(words: list[str]) -> np.ndarray:
-    """Class codes of equally long words, one row each, an edge on either side."""
-    chars = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1)
-    codes = np.zeros(chars.shape, np.int64)
-    ascii_ = chars < 128
-    codes[ascii_] = _ASCII[chars[ascii_]]
-    other = ~ascii_
-    if other.any():
-        found, back = np.unique(chars[other], return_inverse=True)
-        codes[other] = np.array([_code.setdefault(int(c), letter_class(int(c))) for c in found])[back]
-    return np.pad(codes, ((0, 0), (1, 1)), constant_values=EDGE)
 
+def classes(chars: np.ndarray) -> np.ndarray:
+    """letter_class of each character, as bytes."""
+    low = chars < len(_LOW)
+    codes = _LOW[np.where(low, chars, 0)]
+    if not low.all():
+        found, back = np.unique(chars[~low], return_inverse=True)
+        codes[~low] = np.array([_code.setdefault(int(c), letter_class(int(c))) for c in found], np.uint8)[back]
+    return codes
 
-_ASCII = np.array([letter_class(c) for c in range(128)])
+
+def codepoints(words: list[str]) -> np.ndarray:
+    """The characters of equally long words, one row each, a zero on either side."""
+    return np.pad(characters("".join(words)).reshape(len(words), -1).astype(np.int64), ((0, 0), (1, 1)))
+
+
+def letters(words: list[str], edge: int = 1) -> np.ndarray:
+    """Class codes of equally long words, one row each, `edge` edges on either side."""
+    codes = classes(characters("".join(words))).reshape(len(words), -1).astype(np.int64)
+    return np.pad(codes, ((0, 0), (edge, edge)), constant_values=EDGE)
 
 
 def by_length(words: list[str]) -> dict[int, list[int]]:
@@ -53,30 +61,21 @@ def by_length(words: list[str]) -> dict[int, list[int]]:
     return out
 
 
-def parts(word: str) -> list[str]:
-    """A word of over MOST_LETTERS characters as pieces that overlap by half."""
-    if len(word) <= MOST_LETTERS:
-        return [word]
-    half = MOST_LETTERS // 2
-    return [word[i : i + MOST_LETTERS] for i in range(0, len(word) - half, half)]
+def bare(word: str) -> str:
+    """A word's letters."""
+    return word if word.isalpha() else "".join(filter(str.isalpha, word))
 
 
 def score_words(words: list[str], width: int, kernel: Callable[[np.ndarray], np.ndarray], rows_of: Callable[[list[str]], np.ndarray] = letters) -> np.ndarray:
-    """kernel(rows of classes) for all words' letters; a long word has the sum over its parts."""
-    flat: list[str] = []
-    owner: list[int] = []
-    for i, w in enumerate(words):
-        for piece in parts(w if w.isalpha() else "".join(filter(str.isalpha, w))):
-            flat.append(piece)
-            owner.append(i)
-    got = np.zeros((len(flat), width), np.float64)
-    for n, rows in by_length(flat).items():
-        if n:
-            for low in range(0, len(rows), 4096):
-                at = rows[low : low + 4096]
-                got[at] = kernel(rows_of([flat[i] for i in at]))
+    """kernel(rows of classes) for all words' letters; zeros for a word without any."""
+    held = [bare(w) for w in words]
     out = np.zeros((len(words), width), np.float64)
-    np.add.at(out, owner, got)
+    for n, rows in by_length(held).items():
+        if n:
+            step = max(1, CELLS // n)
+            for low in range(0, len(rows), step):
+                at = rows[low : low + step]
+                out[at] = kernel(rows_of([held[i] for i in at]))
     return out
 
 
@@ -90,6 +89,7 @@ class Scores(dict):
     def _reset(self) -> None:
         self.clear()
         self.new: list[str] = []
+        self.letters = 0
         self.table = np.empty((0, self.width))
         self.facts = np.empty((0, len(self.extra(""))))
 
@@ -100,10 +100,11 @@ class Scores(dict):
 
     def rows(self, words: list[str]) -> np.ndarray:
         """Row numbers of the words; their scores are in `table` until the next call."""
-        if len(self) > CACHE_WORDS:
+        if len(self) > CACHE_WORDS or self.letters > CACHE_LETTERS:
             self._reset()
         at = np.array(list(map(self.__getitem__, words)), np.int64)
         if self.new:
+            self.letters += sum(map(len, self.new))
             self.table = np.concatenate((self.table, score_words(self.new, self.width, self.kernel, self.rows_of)))
             self.facts = np.concatenate((self.facts, np.array([self.extra(w) for w in self.new], float)))
             self.new = []
