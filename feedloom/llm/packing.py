@@ -7,7 +7,7 @@ from functools import partial
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -115,7 +115,7 @@ def _pack_again(batches: Iterator[pa.RecordBatch], size: int, most: int) -> Iter
     yield from _rows([b for _, b in bins.rest()], base, False)
 
 
-def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", size: int = 2048, open_bins: int = 1024, slack: int = 8, partitions_together: int = 8) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", size: int = 2048, open_bins: int = 128, slack: int = 8, partitions_together: int = 8) -> DataFrame:
     """Sequences of at most `size` tokens from documents(doc_id, text, ...).
 
     A document is its ids without added special tokens, then id 0; a null or empty
@@ -123,22 +123,32 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", size: int = 2048
     `size`; the last may be shorter. Returns one row per piece: doc_id (null stays
     null), piece, start, length, ids (little-endian uint32), sequence_id, offset.
     Offsets are gapless from 0 in each sequence. Rows that repeat a doc_id are packed
-    as documents of their own. Further columns are ignored.
+    as documents of their own; of bins with equal space the last opened or changed
+    takes a piece. An empty table gives an empty result. Further columns are ignored.
 
     Every partition packs online in one pass, with `open_bins` bins open. What is
     left in bins with more than `slack` free tokens when a partition ends is packed
-    once more, longest pieces first, with the leftovers of `partitions_together`
-    partitions and room for all their bins; this bounds what a task holds at any
-    input size (open_bins * partitions_together sequences).
+    once more in the same way and order, online, with that of the other partitions of
+    its group. A group is `partitions_together` neighbouring partitions and one task,
+    which holds the pieces of at most open_bins * partitions_together sequences.
     """
     first = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(partial(_pack_texts, path=tokenizer_path(tokenizer), size=size, most=open_bins, slack=slack), PIECES + ", open boolean")
     first = common.scratch(first, "packed")
-    left = first.filter("open")
-    parts = left.agg(F.count_distinct(F.shiftright("sequence_id", 32))).first()[0]
-    done = first.filter("not open").drop("open")
-    if not parts:
+    left, done = first.filter("open"), first.filter("not open").drop("open")
+    last = left.agg(F.max(source_partition())).first()[0]
+    if last is None:
         return done
-    groups = -(-parts // partitions_together)
-    left = left.repartition(groups, F.pmod(F.shiftright("sequence_id", 32), F.lit(groups))).sortWithinPartitions(F.desc("length"), "doc_id", "piece")
-    again = left.drop("open").mapInArrow(partial(_pack_again, size=size, most=open_bins * partitions_together), PIECES + ", open boolean").drop("open")
+    again = groups(left, last, partitions_together).sortWithinPartitions("sequence_id", "offset")
+    again = again.drop("open").mapInArrow(partial(_pack_again, size=size, most=open_bins * partitions_together), PIECES + ", open boolean").drop("open")
     return done.unionByName(again)
+
+
+def source_partition() -> Column:
+    """The partition of the first pass that opened a sequence."""
+    return F.shiftright("sequence_id", 32)
+
+
+def groups(left: DataFrame, last: int, together: int) -> DataFrame:
+    """The rows of every `together` neighbouring source partitions (numbered to `last`) as one partition."""
+    group = F.floor(source_partition() / together).cast("int")
+    return left.repartitionById(last // together + 1, group)
