@@ -17,11 +17,13 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir.
 
-    Where it is unset (a local session in tests) a folder beside the warehouse is
-    set and used; a cluster names its own.
+    Where it is unset in a local session (in tests) a folder beside the warehouse is
+    set and used; a cluster must name its own.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-shared"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -50,6 +52,18 @@ def drop_scratch(spark: SparkSession) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def unused(columns: list[str], *stems: str) -> list[str]:
+    """Names like the stems that none of the columns has, in any case."""
+    held, out = {c.lower() for c in columns}, []
+    for stem in stems:
+        name = stem
+        while name.lower() in held:
+            name += "_"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def in_rows(array: pa.Array, rows: int = 256) -> Iterator[list]:
     """An Arrow column as Python lists of a few rows at a time."""
     for low in range(0, len(array), rows):

@@ -31,6 +31,65 @@ def test_matrix_follows_the_hypergeometric_mean():
     assert np.allclose(got, 100 / 3, atol=1.0)
 
 
+def test_hypergeometric_draws_follow_the_law():
+    from math import comb
+
+    rng = np.random.default_rng(5)
+    for good, bad, drawn in ((5, 7, 6), (40, 3, 20), (300, 500, 30), (1, 9, 3)):
+        low, high = max(0, drawn - bad), min(good, drawn)
+        got = np.bincount([sharding.hypergeometric(rng, good, bad, drawn) for _ in range(6000)], minlength=high + 1)
+        want = np.array([comb(good, k) * comb(bad, drawn - k) / comb(good + bad, drawn) if k >= low else 0 for k in range(high + 1)]) * 6000
+        big = want >= 5
+        chi = ((got - want)[big] ** 2 / want[big]).sum()
+        assert got[:low].sum() == 0 and chi < big.sum() + 5 * np.sqrt(2 * big.sum()) + 3
+    # more rows than numpy's sampler takes
+    far = [sharding.hypergeometric(rng, 3 * 10**12, 10**12, 10**11) for _ in range(300)]
+    deviation = np.sqrt(10**11 * 0.75 * 0.25 * (1 - 10**11 / (4 * 10**12)))
+    assert abs(np.mean(far) - 0.75e11) < 5 * deviation / np.sqrt(300) and 0.8 < np.std(far) / deviation < 1.2
+
+
+def test_the_permutation_is_uniform(spark):
+    """Chi-square over all orders of five rows in two partitions, and over places of a larger table."""
+    from collections import Counter
+    from itertools import permutations
+
+    seen = Counter()
+    for seed in range(6000):
+        m = sharding.communication_matrix([2, 3], sharding.shard_sizes(5, 2), seed)
+        rows = []
+        for p, first in ((0, 0), (1, 2)):
+            shard, _, key = sharding._labels(m[p], np.array([1, 1]), p, seed)
+            rows += [(s, k, first + i) for i, (s, k) in enumerate(zip(shard.tolist(), key.tolist(), strict=True))]
+        seen[tuple(i for _, _, i in sorted(rows))] += 1
+    want = 6000 / 120
+    chi = sum((seen[o] - want) ** 2 / want for o in permutations(range(5)))
+    assert chi < 119 + 5 * np.sqrt(2 * 119)
+
+
+def test_rows_lie_where_a_plain_replay_puts_them(spark):
+    df = spark.range(0, 500, 1, 3).withColumnRenamed("id", "doc_id")
+    got = {r.doc_id: (r.shard, r.slot) for r in sharding.shuffle_into_shards(df, 4, seed=9, bucket_rows=20, stable=True).collect()}
+    sent = [r.n for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect()]
+    sizes = sharding.shard_sizes(500, 4)
+    buckets = np.maximum(1, -(-sizes // 20))
+    held, low = [], 0
+    for p, n in enumerate(sent):
+        shard, bucket, key = sharding._labels(sharding.communication_matrix(sent, sizes, 9)[p], buckets, p, 9)
+        held += [(s, b, k, low + i) for i, (s, b, k) in enumerate(zip(shard.tolist(), bucket.tolist(), key.tolist(), strict=True))]
+        low += n
+    want, slots = {}, [0] * 4
+    for s, _, _, i in sorted(held):
+        want[i] = (s, slots[s])
+        slots[s] += 1
+    assert got == want
+
+
+def test_long_rows_make_more_buckets(spark):
+    df = spark.range(64).select("id", F.repeat(F.lit("x"), 10_000).alias("text"))
+    got = sharding.shuffle_into_shards(df, 2, bucket_bytes=40_000)
+    assert sorted((r.shard, r.slot) for r in got.collect()) == [(s, i) for s in range(2) for i in range(32)]
+
+
 @pytest.mark.parametrize("rows,shards,bucket", [(1000, 7, 16), (5, 24, 16384), (1, 1, 1)])
 def test_sizes_slots_and_rows(spark, rows, shards, bucket):
     df = spark.range(rows).withColumnRenamed("id", "doc_id")
@@ -52,6 +111,11 @@ def test_clashing_columns_nulls_repeats_and_empty(spark, docs):
     got = sharding.shuffle_into_shards(docs, 3).toPandas()
     assert list(got.columns) == ["doc_id", "text", "source", "shard", "slot"] and len(got) == len(ROWS)
     assert sharding.shuffle_into_shards(docs.limit(0), 3).count() == 0
+    names = ["label", "bucket", "key", "place", "part", "at", "start", "p", "n", "_deal", "_bucket", "_key", "_place", "_shard", "Bucket_", "size", "a.b", "slot"]
+    wide = spark.createDataFrame([tuple(f"{i}-{n}" for n in names) for i in range(9)], ", ".join(f"`{n}` string" for n in names))
+    told = sharding.shuffle_into_shards(wide, 2, bucket_rows=2)
+    assert told.columns == [*names[:-1], "shard", "slot"]
+    assert sorted(told.select(*(f"`{n}`" for n in names[:-1])).collect()) == sorted(wide.select(*(f"`{n}`" for n in names[:-1])).collect())
 
 
 def test_parse_orders_text_media_and_captions():
