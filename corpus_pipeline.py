@@ -18,32 +18,57 @@ MOST_STRANGE = 0.25
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity of 0.5 or more go."""
+    """Documents with a toxicity of 0.5 or more go.
+
+    Null and empty texts stay. Equal texts share their fate; repeated rows stay as they
+    are. An empty table stays empty. Columns of any name stay.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(toxicity.training_sample(docs, labels))
-    return toxicity.with_toxicity(docs, model, "_toxicity").filter(F.col("_toxicity") < 0.5).drop("_toxicity")
+    (name,) = common.unused(docs.columns, "toxicity")
+    return toxicity.with_toxicity(docs, model, name).filter(F.col(name) < 0.5).drop(name)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or of no language that the labelled rows teach, go."""
+    """Documents without a letter, or of no language that the labelled rows teach, go.
+
+    Null and empty texts go with them, and all if there is nothing to learn from. Equal
+    texts share their fate; repeated rows stay as they are. An empty table stays empty.
+    Columns of any name stay.
+    """
     model = language.fit(language.training_sample(docs))
-    known = (F.col("_language.lang_pred") != language.UNKNOWN) & (F.col("_language.score") >= LEAST_LANGUAGE_SCORE) & (F.col("_language.strange") < MOST_STRANGE)
-    return language.with_language(docs, model, "_language").filter(known).drop("_language")
+    (name,) = common.unused(docs.columns, "language")
+    known = (F.col(f"{name}.lang_pred") != language.UNKNOWN) & (F.col(f"{name}.score") >= LEAST_LANGUAGE_SCORE) & (F.col(f"{name}.strange") < MOST_STRANGE)
+    return language.with_language(docs, model, name).filter(known).drop(name)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays: five-word shingles, similarity 0.8."""
+    """One document of each near-duplicate class stays: five-word shingles, similarity 0.8.
+
+    It is the one with the least doc_id; of rows that repeat doc_id and text one stays.
+    Texts without words are duplicates of nothing. An empty table stays empty. Columns
+    of any name stay.
+    """
     return near_dup.deduplicate(docs, size=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go.
+
+    Null and empty texts stay; equal texts share their fate; repeated rows stay as they
+    are. An empty table, or an empty benchmark, changes nothing. Columns of any name stay.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontaminate.flag(docs, benchmark, "_leak").filter(~F.col("_leak")).drop("_leak")
+    (name,) = common.unused(docs.columns, "leak")
+    return decontaminate.flag(docs, benchmark, name).filter(~F.col(name)).drop(name)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens: a row per piece."""
+    """Sequences of at most 2048 tokens: a row per piece.
+
+    A null or empty text is one token; rows that repeat a doc_id are documents of their
+    own. An empty table gives no rows. Further columns are ignored.
+    """
     packed = packing.pack(docs)
     return packed.withColumn("ids_crc32", F.crc32("ids")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
