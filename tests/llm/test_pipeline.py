@@ -54,6 +54,20 @@ def test_stages(spark, planted):
     assert {r.doc_id for r in result.select("doc_id").distinct().collect()} == ids["packing"]
 
 
+def test_clashing_names_and_empty_tables(spark, planted, tmp_path):
+    top, _ = planted
+    docs = spark.read.parquet(f"{top}/documents.parquet").limit(40)
+    names = ["toxicity", "_toxicity", "language", "_language", "leak", "_leak", "_id", "_print", "score"]
+    wide = docs.select("*", *(docs.doc_id.cast("string").alias(n) for n in names))
+    held = {r.doc_id: tuple(r) for r in wide.collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, wide, str(top))
+        assert got.columns == wide.columns and all(held[r.doc_id] == tuple(r) for r in got.collect())
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{top}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_every_operator_has_its_query():
     assert [int(n[2:].split("_")[0]) for n in queries.QUERIES] == list(range(1, 11))
     assert set(queries.ORACLES) <= set(queries.QUERIES)
