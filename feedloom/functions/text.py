@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from datetime import UTC, datetime, timedelta
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -13,7 +14,6 @@ INVISIBLE = "[\u200b-\u200d\ufeff]"
 #: White space of either regular expression family, so that a following trim of spaces strips it all.
 SPACES = "(?:[\\x1c-\\x1f]|(?U:\\s))+"
 _ZONED = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:?\d{2})$"
-_PLAIN = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?)?$"
 
 
 def _composer():
@@ -46,15 +46,46 @@ def is_identifier(c: Column) -> Column:
     return F.coalesce((c != "") & (c == clean_text(c)), F.lit(False))
 
 
+def read_instant(text: object) -> tuple[datetime | None, str | None]:
+    """(instant, why there is none) of an ISO 8601 text with a zone, in any form that Python's own parser takes."""
+    try:
+        found = datetime.fromisoformat(text) if isinstance(text, str) else None
+        if found is None or found.tzinfo is None:
+            return None, "invalid_timestamp" if found is None else "timestamp_without_timezone"
+        return found.astimezone(UTC), None
+    except (ValueError, OverflowError):
+        return None, "invalid_timestamp"
+
+
+def _rare_forms(what: str):
+    """The micros, or the reason, of texts in the forms that SQL doesn't read; built on first use."""
+
+    def run(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in arrays:
+            told = [(None, None) if x is None else read_instant(x) for x in a.to_pylist()]
+            if what == "micros":
+                yield pa.array([None if t is None else (t - EPOCH) // timedelta(microseconds=1) for t, _ in told], pa.int64())
+            else:
+                yield pa.array([why for _, why in told], pa.string())
+
+    run.__annotations__ = {"arrays": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "long" if what == "micros" else "string")
+
+
+EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
+
+
 def instant(c: Column) -> Column:
-    """ISO 8601 text with a zone as a timestamp; null for any other text."""
-    return F.when(c.rlike(_ZONED), F.try_to_timestamp(c))
+    """ISO 8601 text with a zone as a timestamp; null for any other text. The usual form skips Python."""
+    usual = F.when(c.rlike(_ZONED), F.try_to_timestamp(c))
+    return F.coalesce(usual, F.timestamp_micros(_rare_forms("micros")(F.when(usual.isNull(), c))))
 
 
 def instant_reason(c: Column) -> Column:
     """Why instant() is null: no zone, or no instant at all."""
-    lacks = c.rlike(_PLAIN) & F.try_to_timestamp(c).isNotNull()
-    return F.when(instant(c).isNotNull(), F.lit(None)).when(lacks, "timestamp_without_timezone").otherwise("invalid_timestamp")
+    usual = F.when(c.rlike(_ZONED), F.try_to_timestamp(c))
+    why = _rare_forms("reason")(F.when(usual.isNull(), c))
+    return F.when(c.isNull(), "invalid_timestamp").otherwise(why)
 
 
 def iso_micros(c: Column) -> Column:

@@ -56,10 +56,14 @@ def read_reduction(available: Column, read: Column) -> tuple[Column, Column]:
     return avoided, share
 
 
-def output_digest(tables: dict[str, DataFrame]) -> dict[str, tuple[int, int]]:
-    """(rows, exclusive or of row hashes) of each table: equal contents, equal digests, in any order."""
+def output_digest(tables: dict[str, DataFrame]) -> dict[str, tuple[int, int, int]]:
+    """(rows, exclusive or and sum of row hashes) of each table: equal contents, equal digests, in any order.
+
+    The sum tells rows that occur twice, which the exclusive or doesn't.
+    """
     out = {}
     for name, df in sorted(tables.items()):
-        r = df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}))).alias("h")).first()
-        out[name] = (r.n, r.h or 0)
+        row = F.xxhash64(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}))
+        r = df.agg(F.count("*").alias("n"), F.bit_xor(row).alias("x"), F.sum(row.cast("decimal(38,0)")).alias("s")).first()
+        out[name] = (r.n, r.x or 0, int(r.s or 0))
     return out

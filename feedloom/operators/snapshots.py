@@ -5,82 +5,51 @@ Everything is a function of the retained history and independent of its order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.children import children
-from ..functions.text import clean_text, digest, instant, instant_reason, is_identifier, iso_micros, json_object, json_string
+from ..functions.children import INSTANTS, payload_columns
+from ..functions.text import digest, is_identifier, iso_micros, json_object, json_string
 from ..schemas import KEYS, QUESTION_COLUMNS, QUESTION_FIELDS, RESPONSE_FIELDS, WIDE_FIELDS
 from .validation import first_failure
 from .versions import ranked, varies
 
-IDENTIFIERS = {"response_id": "_id", "survey_id": "actionId", "event_id": "eventId", "customer_id": "clientId"}
-
-
-def _field(name: str) -> Column:
-    return F.expr(f"try_variant_get(v, '$.{name}', 'variant')")
-
-
-def _kind(name: str) -> Column:
-    return F.coalesce(F.schema_of_variant(_field(name)), F.lit("VOID"))
-
-
-def _text(name: str) -> Column:
-    """A field that is a JSON string; null for any other kind."""
-    return F.when(_kind(name) == "STRING", F.expr(f"try_variant_get(v, '$.{name}', 'string')"))
-
-
-def _whole(name: str) -> Column:
-    """A field that is a whole JSON number within a long; true and 1.0 are none."""
-    return F.when(_kind(name) == "BIGINT", F.expr(f"try_variant_get(v, '$.{name}', 'bigint')"))
+IDENTIFIERS = ["response_id", "survey_id", "event_id", "customer_id"]
 
 
 def normalize(receipts: DataFrame) -> DataFrame:
     """receipts(receipt_id, payload as JSON text) with typed columns and the first broken rule as `reason`.
 
     Rules in order: object; four identifiers; version; metric; score in its metric's
-    range (a string of digits counts as a number); three instants with zones; an update
-    not before answer or creation; child lists and their entries; deletion flag;
-    journey stage. payload_hash is the SHA-256 of the canonical model without event id
-    and envelope. A missing or malformed payload is no object.
+    range (a text of digits, of any script, counts as a number); three instants with
+    zones; an update not before answer or creation; child lists and their entries;
+    deletion flag; journey stage; feedback. payload_hash is the SHA-256 of the canonical
+    model without event id and envelope. A missing or malformed payload, one nested
+    beyond the parser, and one with half a surrogate pair are no objects. Of repeated
+    JSON names the last counts. Further columns of receipts are ignored.
     """
-    read = receipts.withColumn("v", F.try_parse_json("payload")).withColumn("child", children(F.col("payload")))
-    for column, name in IDENTIFIERS.items():
-        read = read.withColumn(column, _text(name))
-    digits = F.regexp_extract(F.trim(F.coalesce(_text("review"), F.lit(""))), r"^(\d{1,18})$", 1)
-    score = F.coalesce(F.when(digits != "", digits.cast("bigint")), _whole("review"))
-    read = read.withColumn("source_version", _whole("version")).withColumn("metric", _text("metric")).withColumn("score", score)
-    instants = {"updated_at": "updatedAt", "answered_at": "answerDate", "created_at": "createdAt"}
-    for column, name in instants.items():
-        read = read.withColumn(column, instant(_text(name)))
-    read = read.withColumn("deleted", F.coalesce(F.expr("try_variant_get(v, '$.deleted', 'boolean')"), F.lit(False)))
-    stage = F.when(_field("journeyStage").isNull(), F.lit("unknown")).otherwise(clean_text(_text("journeyStage")))
-    read = read.withColumn("journey_stage", stage)
+    read = receipts.select("receipt_id", "payload", payload_columns(F.col("payload")).alias("p")).select("receipt_id", "payload", "p.*")
     low, high = F.when(F.col("metric") == "NPS", 0).otherwise(1), F.when(F.col("metric") == "NPS", 10).otherwise(5)
+    no = lambda c: ~F.coalesce(c, F.lit(False))
     reason = first_failure(
-        (~F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False)), "payload_not_object"),
+        (no(F.col("is_object")), "payload_not_object"),
         *((~is_identifier(F.col(c)), "invalid_identifier") for c in IDENTIFIERS),
-        (~F.coalesce(F.col("source_version") >= 1, F.lit(False)), "invalid_source_version"),
-        (~F.coalesce(F.col("metric").isin("NPS", "CSAT"), F.lit(False)), "invalid_metric"),
-        (~F.coalesce(F.col("score").between(low, high), F.lit(False)), "score_out_of_range"),
-        *((F.col(c).isNull(), F.coalesce(instant_reason(_text(n)), F.lit("invalid_timestamp"))) for c, n in instants.items()),
+        (no(F.col("source_version") >= 1), "invalid_source_version"),
+        (no(F.col("metric").isin("NPS", "CSAT")), "invalid_metric"),
+        (no(F.col("score").between(low, high)), "score_out_of_range"),
+        *((F.col(c).isNull(), F.col(f"{c}_reason")) for c in INSTANTS),
         ((F.col("updated_at") < F.col("answered_at")) | (F.col("updated_at") < F.col("created_at")), "update_precedes_answer_or_creation"),
-        (F.col("child.reason").isNotNull(), F.col("child.reason")),
+        (F.col("reason").isNotNull(), F.col("reason")),
     )
     model = {
-        "survey_id": json_string(F.col("survey_id")), "response_id": json_string(F.col("response_id")), "customer_id": json_string(F.col("customer_id")),
-        "source_version": F.col("source_version").cast("string"), "metric": json_string(F.col("metric")), "score": F.col("score").cast("string"),
-        **{c: json_string(iso_micros(F.col(c))) for c in instants},
-        "journey_stage": json_string(F.col("journey_stage")), "feedback": F.col("child.feedback"), "deleted": F.col("deleted").cast("string"),
-        "categories": F.col("child.categories_json"), "questions": F.col("child.questions_json"),
+        **{c: json_string(F.col(c)) for c in ("survey_id", "response_id", "customer_id", "metric", "journey_stage")},
+        **{c: json_string(iso_micros(F.col(c))) for c in INSTANTS},
+        "source_version": F.col("source_version").cast("string"), "score": F.col("score").cast("string"), "deleted": F.col("deleted").cast("string"),
+        "feedback": F.col("feedback_json"), "categories": F.col("categories_json"), "questions": F.col("questions_json"),
     }
-    read = read.withColumn("reason", reason).withColumn("payload_hash", digest(json_object(model)))
-    return read.select(
-        "receipt_id", "reason", "payload", *IDENTIFIERS, F.col("source_version").cast("int").alias("source_version"), "metric",
-        F.col("score").cast("int").alias("score"), *(iso_micros(F.col(c)).alias(c) for c in instants), "journey_stage",
-        F.expr("if(child.feedback = 'null', null, coalesce(try_variant_get(try_parse_json(child.feedback), '$', 'string'), child.feedback))").alias("feedback"),
-        "deleted", F.col("child.categories").alias("categories"), F.col("child.questions").alias("questions"), "payload_hash",
-    )
+    read = read.withColumn("payload_hash", digest(json_object(model))).withColumn("reason", reason)
+    instants = [iso_micros(F.col(c)).alias(c) for c in INSTANTS]
+    return read.select("receipt_id", "reason", "payload", *IDENTIFIERS, "source_version", "metric", "score", *instants, "journey_stage", "feedback", "deleted", "categories", "questions", "payload_hash")
 
 
 def resolve(normalized: DataFrame) -> dict[str, DataFrame]:
@@ -159,11 +128,3 @@ def affected(history: DataFrame, batch: DataFrame) -> DataFrame:
             break
         n = more
     return history.join(keys.select(*(F.col(c).alias(f"_{c}") for c in key)), [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key], "left_semi")
-
-
-def keys_are_unique(tables: dict[str, DataFrame]) -> bool:
-    """Whether every published table's key holds; part of the checks before a commit."""
-    w = {name: Window.partitionBy(*cols) for name, cols in KEYS.items()}
-    return all(tables[n].withColumn("_n", F.count("*").over(w[n])).filter("_n > 1").isEmpty() for n in tables if n in w)
-
-

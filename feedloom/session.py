@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-#: Instants are read and written in UTC; of repeated JSON keys the last one counts.
+#: Instants are read and written in UTC.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
-    "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }

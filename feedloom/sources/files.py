@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.children import json_form
 from ..schemas import EVENT_FIELDS, RECEIPT
 
 
@@ -24,7 +25,9 @@ def read_receipts(spark: SparkSession, path: str, batch: str = "all") -> DataFra
     """Delivered receipts, their payload as the JSON text that was delivered; one batch or all."""
     lines = spark.read.text(path).filter(F.trim("value") != "")
     envelope = F.from_json("value", RECEIPT, {"mode": "FAILFAST"})
-    got = lines.select(envelope.alias("r")).select("r.*")
+    # the payload as it was delivered: SQL's own JSON text would turn NaN into a text
+    got = lines.select(envelope.alias("r"), json_form(F.col("value"), "payload").alias("payload")).select("r.*", F.col("payload").alias("_text"))
+    got = got.withColumn("payload", F.col("_text")).drop("_text")
     return got if batch == "all" else got.filter(F.col("batch_id") == batch)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.children import json_form
 from ..operators import metrics, snapshots
 from ..operators.upsert import assert_empty, duplicate_keys, orphans
 from ..schemas import KEYS, RECEIPT
@@ -26,8 +27,8 @@ def run_batch(store: Store, receipts: DataFrame, rebuild: bool = False) -> dict:
     the commit, which publishes all tables at once.
     """
     # the payload's text is compared in one form, whatever spaces or order it came with
-    form = F.coalesce(F.to_json(F.try_parse_json("payload")), F.col("payload"))
-    batch = receipts.withColumn("payload", form).withColumn("whole", F.to_json(F.struct(*receipts.columns)))
+    form = json_form(F.col("payload")).alias("payload")
+    batch = receipts.withColumn("whole", F.to_json(F.struct(*(form if c == "payload" else F.col(c) for c in receipts.columns))))
     store.retain("receipts", batch, "receipt_id", "whole", _RAW)
     raw = store.history("receipts", _RAW)
     known = store.table("normalized", "receipts")
