@@ -29,12 +29,19 @@ def first_failure(*rules: tuple[Column, str | Column]) -> Column:
 
 
 def event_reason(df: DataFrame) -> Column:
-    """The flat survey event's rules: required fields, then the two scores' ranges."""
-    lacking = missing_fields(df, REQUIRED_FIELDS)
+    """The flat survey event's rules: required fields, the two scores' type and range, then other fields' types.
+
+    `wrong`, if df has it, names the fields that came with another type: they are there.
+    """
+    names = F.split(F.coalesce(F.col("wrong"), F.lit("")), ",") if "wrong" in df.columns else F.array().cast("array<string>")
+    wrong = lambda name: F.array_contains(names, name)
+    lacking = F.concat_ws(",", *(F.when(missing(df, n) & ~wrong(n), F.lit(n)) for n in REQUIRED_FIELDS))
+    others = [n for n in REQUIRED_FIELDS if n not in ("nps_score", "csat_score")]
     return first_failure(
-        (lacking.isNotNull(), F.concat(F.lit("missing:"), lacking)),
-        (~F.col("nps_score").between(*NPS_RANGE), "invalid_nps_score"),
-        (~F.col("csat_score").between(*CSAT_RANGE), "invalid_csat_score"),
+        (lacking != "", F.concat(F.lit("missing:"), lacking)),
+        (wrong("nps_score") | ~F.col("nps_score").between(*NPS_RANGE), "invalid_nps_score"),
+        (wrong("csat_score") | ~F.col("csat_score").between(*CSAT_RANGE), "invalid_csat_score"),
+        *((wrong(n), f"invalid_{n}") for n in others),
     )
 
 

@@ -1,8 +1,10 @@
 """A paginated HTTP API as a Spark data source, in batch and as a micro-batch stream.
 
 format("paged_responses") with the options url, token, as_of, updated_since,
-page_size, attempts. The range of update times is pushed down to the API. A page is a
-partition, so pages are fetched in parallel and a lost one is fetched again.
+page_size, attempts. The range of update times is pushed down to the API, from the options
+and from filters on updated_at (with spark.sql.python.filterPushdown.enabled). A page is a
+partition, in batch and in a stream, so pages are fetched in parallel and a lost one is
+fetched again; no more than one page comes to the driver.
 """
 
 from __future__ import annotations
@@ -16,12 +18,15 @@ from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
+from ..functions.text import read_instant
 from ..schemas import EVENT, EVENT_FIELDS
 
 FAR = "2100-01-01T00:00:00Z"
+SCHEMA = EVENT + ", wrong string, page int, place int"
 _INSTANTS = {"responded_at", "updated_at"}
+_NUMBERS = {"event_version", "nps_score", "csat_score"}
 
 
 def fetch(url: str, token: str, attempts: int = 3, pause: float = 0.25) -> dict:
@@ -57,16 +62,30 @@ def instant(text: str) -> datetime:
 
 
 def as_row(event: dict) -> tuple:
-    """An event's declared fields; instants parsed, whole numbers kept, other kinds of score null."""
-    out = []
+    """An event's declared fields, and as `wrong` the names of those that are there with another type.
+
+    A score must be a whole JSON number (true and 9.0 are none), an instant must have a
+    zone; such a field is null and its row is quarantined, it fails no load.
+    """
+    out, wrong = [], []
     for name in EVENT_FIELDS:
-        value = event.get(name)
-        if name in _INSTANTS:
-            value = instant(value) if value else None
-        elif name in ("event_version", "nps_score", "csat_score"):
-            value = value if type(value) is int else None
+        value, fits = event.get(name), True
+        if value is None or value == "":
+            value = None if name in _INSTANTS | _NUMBERS else value
+        elif name in _INSTANTS:
+            value, why = read_instant(value)
+            fits = why is None
+        elif name in _NUMBERS:
+            if name == "event_version" and isinstance(value, str) and value.isdecimal():
+                value = int(value)
+            fits = type(value) is int and abs(value) < 1 << 63
+            value = value if fits else None
+        elif not isinstance(value, str):
+            value = json.dumps(value)
         out.append(value)
-    return tuple(out)
+        if not fits:
+            wrong.append(name)
+    return (*out, ",".join(wrong) or None)
 
 
 class Page(InputPartition):
@@ -79,6 +98,24 @@ class PagedReader(DataSourceReader):
         self.options = dict(options)
         self.size = int(options.get("page_size", 250))
 
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        """The API's bounds are (since, until], in whole seconds: they read no less, and Spark filters again."""
+        low, high = [], []
+        for f in filters:
+            if getattr(f, "attribute", None) == ("updated_at",) and isinstance(getattr(f, "value", None), datetime):
+                at = f.value if f.value.tzinfo else f.value.replace(tzinfo=UTC)
+                if isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    low.append(at - timedelta(seconds=1))
+                elif isinstance(f, (LessThan, LessThanOrEqual)):
+                    high.append(at + timedelta(seconds=1))
+            yield f
+        if low:
+            since = self.options.get("updated_since")
+            self.options["updated_since"] = iso(max([*low, instant(since)] if since else low))
+        if high:
+            until = self.options.get("as_of")
+            self.options["as_of"] = iso(min([*high, instant(until)] if until else high))
+
     def partitions(self) -> list[Page]:
         total = available(self.options["url"], self.options.get("token", ""), self.options.get("as_of"), self.options.get("updated_since"))
         return [Page(n) for n in range(1, max(1, -(-total // self.size)) + 1)]
@@ -89,38 +126,42 @@ class PagedReader(DataSourceReader):
             yield (*as_row(event), partition.number, place)
 
 
-class PagedStream(SimpleDataSourceStreamReader):
-    """Offsets are update times. Every batch reads again from `overlap` minutes before the last."""
+class PagedStream(DataSourceStreamReader):
+    """Offsets are update times. Every batch reads again from `overlap` minutes before the last.
+
+    The API gives its rows in order of update, so its last page tells how far it goes.
+    """
 
     def __init__(self, options: dict) -> None:
         self.options = dict(options)
-        self.size = int(options.get("page_size", 250))
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"updated_at": self.options.get("updated_since") or ""}
 
-    def _scan(self, since: str, until: str | None = None) -> tuple[list[tuple], str]:
-        options, rows, top, page = self.options | {"updated_since": "", "as_of": until or self.options.get("as_of")}, [], since, 1
-        if since:
-            options["updated_since"] = iso(instant(since) - timedelta(minutes=int(self.options.get("overlap", 5))))
-        while page:
-            got = fetch(page_url(options, page, self.size), options.get("token", ""))
-            for place, event in enumerate(got.get("data", [])):
-                rows.append((*as_row(event), page, place))
-                top = max(top, event["updated_at"])
-            page = got.get("pagination", {}).get("next_page")
-        return rows, top
+    def latestOffset(self) -> dict:  # noqa: N802
+        reader = PagedReader(self.options)
+        last = reader.partitions()[-1].number
+        got = fetch(page_url(reader.options, last, reader.size), self.options.get("token", ""))
+        times = [t for e in got.get("data", []) if (t := read_instant(e.get("updated_at"))[0])]
+        return {"updated_at": iso(max(times) + timedelta(microseconds=999_999))} if times else self.initialOffset()
+
+    def _reader(self, start: dict, end: dict) -> PagedReader:
+        options = self.options | {"as_of": end["updated_at"], "updated_since": ""}
+        if start["updated_at"]:
+            options["updated_since"] = iso(instant(start["updated_at"]) - timedelta(minutes=int(self.options.get("overlap", 5))))
+        return PagedReader(options)
+
+    def partitions(self, start: dict, end: dict) -> list[Page]:
+        if start["updated_at"] == end["updated_at"]:
+            return []
+        reader = self._reader(start, end)
+        pages = reader.partitions()
+        for page in pages:
+            page.options = reader.options
+        return pages
 
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows, top = self._scan(start["updated_at"])
-        fresh = top > start["updated_at"]
-        return iter(rows if fresh else []), {"updated_at": top}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        return iter(self._scan(start["updated_at"], end["updated_at"])[0])
-
-    def commit(self, end: dict) -> None:
-        pass
+    def read(self, partition: Page) -> Iterator[tuple]:
+        return PagedReader(partition.options).read(partition)
 
 
 def iso(value: datetime) -> str:
@@ -133,14 +174,15 @@ class PagedResponses(DataSource):
         return "paged_responses"
 
     def schema(self) -> str:
-        return EVENT + ", page int, place int"
+        return SCHEMA
 
     def reader(self, schema) -> PagedReader:
         return PagedReader(self.options)
 
-    def simpleStreamReader(self, schema) -> PagedStream:  # noqa: N802
+    def streamReader(self, schema) -> PagedStream:  # noqa: N802
         return PagedStream(self.options)
 
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # a reader that takes filters needs it
     spark.dataSource.register(PagedResponses)

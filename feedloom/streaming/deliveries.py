@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ from ..sources import files
 from ..sources.store import Store
 
 
+NORMALIZED = (
+    "receipt_id string, reason string, payload string, response_id string, survey_id string, event_id string, customer_id string, source_version int, metric string, score int, "
+    "updated_at string, answered_at string, created_at string, journey_stage string, feedback string, deleted boolean, categories array<struct<category:string,subcategory:string>>, "
+    "questions array<struct<question_id:string,question_text:string,value_json:string>>, payload_hash string, run string"
+)
 TABLES = ("responses", "response_categories", "question_answers", "responses_wide")
 _RAW = RECEIPT + ", whole string"
 
@@ -29,18 +36,18 @@ def run_batch(store: Store, receipts: DataFrame, rebuild: bool = False) -> dict:
     # the payload's text is compared in one form, whatever spaces or order it came with
     form = json_form(F.col("payload")).alias("payload")
     batch = receipts.withColumn("whole", F.to_json(F.struct(*(form if c == "payload" else F.col(c) for c in receipts.columns))))
-    store.retain("receipts", batch, "receipt_id", "whole", _RAW)
+    store.retain("receipts", batch, "receipt_id", "whole", _RAW, ("batch_id",))
     raw = store.history("receipts", _RAW)
-    known = store.table("normalized", "receipts")
-    fresh = raw.select("receipt_id", "payload")
-    if known is not None:
-        fresh = fresh.join(known.select("receipt_id"), "receipt_id", "left_anti")
-    fresh = snapshots.normalize(fresh)
-    store.replace("normalized", {"receipts": fresh if known is None else known.unionByName(fresh)})
-    history = store.table("normalized", "receipts")
-    new = history if known is None else history.join(known.select("receipt_id"), "receipt_id", "left_anti")
+    known = store.history("normalized", NORMALIZED)
+    fresh = snapshots.normalize(raw.select("receipt_id", "payload").join(known.select("receipt_id"), "receipt_id", "left_anti"))
+    # a part of its own: what was normalized before isn't written again
+    store.append("normalized", fresh, "run", uuid.uuid4().hex)
+    history = store.history("normalized", NORMALIZED)
+    told = store.table("survey", "receipt_audit")
+    # the audit accounts for every receipt that was published: a run that ended early is made up for
+    new = history if told is None else history.join(told.select("receipt_id"), "receipt_id", "left_anti")
     held = None if rebuild else store.table("survey", "current_snapshots")
-    again = (history if held is None else snapshots.affected(history, new)).cache()
+    again = (history if held is None else snapshots.affected(history, new)).drop("run").cache()
     try:
         resolved = snapshots.resolve(again)
         published = resolved | snapshots.model(resolved["current"])

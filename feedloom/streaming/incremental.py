@@ -16,7 +16,8 @@ from ..schemas import EVENT, EVENT_FIELDS
 from ..sources import files, paged
 from ..sources.store import Store
 
-BRONZE = EVENT + ", page int, place int, run_id string, source_entity string, ingested_at string"
+BRONZE = paged.SCHEMA + ", source_entity string, ingested_at string, run_id string"
+QUARANTINE = "reason string, record string, run_id string"
 OVERLAP_MINUTES = 5
 
 
@@ -57,37 +58,49 @@ def load(store: Store, url: str, token: str, as_of: str, page_size: int = 250) -
     since = overlap(previous)
     reader = spark.read.format("paged_responses").options(url=url, token=token, as_of=as_of, page_size=page_size)
     extracted = (reader.option("updated_since", since) if since else reader).load()
-    store.append("bronze", extracted, run_id=run, source_entity="responses", ingested_at=paged.iso(datetime.now(UTC)))
+    told = apply(store, extracted, run, as_of=as_of)
+    everything = paged.available(url, token, as_of)
+    read = told["extracted_rows"]
+    avoided = max(0, everything - read)
+    report = {
+        "run_id": run, "mode": mode_of(previous), "as_of": as_of, "full_scan_rows_at_cutoff": everything, "extracted_rows": read,
+        "rows_avoided_vs_full_scan": avoided, "read_reduction_pct": round(100 * avoided / everything, 1) if everything else 0.0,
+        "pages_requested": max(1, -(-read // page_size)), "previous_watermark": previous, "query_watermark": since, **told,
+    }
+    report["elapsed_seconds"] = round(time.perf_counter() - began, 3)
+    record(store, report)
+    return report
+
+
+def apply(store: Store, extracted: DataFrame, run: str, **facts) -> dict:
+    """Keep, validate, upsert and publish one extraction under the name of its run; returns the counts.
+
+    Raw and rejected rows are kept in a part of their own, which a replayed run writes
+    over. The pointer's rename publishes the table and the watermark together, last.
+    """
+    store.append("bronze", extracted, "run_id", run, source_entity="responses", ingested_at=paged.iso(datetime.now(UTC)))
     batch = store.history("bronze", BRONZE).filter(F.col("run_id") == run).cache()
+    previous = store.facts("responses").get("watermark")
     try:
-        top = batch.agg(F.count("*").alias("n"), iso_seconds(F.max("updated_at")).alias("top"), F.max("page").alias("pages")).first()
+        top = batch.agg(F.count("*").alias("n"), iso_seconds(F.max("updated_at")).alias("top")).first()
         resolved, rejected = latest_valid(batch)
         resolved = resolved.select(*EVENT_FIELDS).cache()
-        quarantine = rejected.select("reason", F.to_json(F.struct(*EVENT_FIELDS), {"ignoreNullFields": "false"}).alias("record"), "run_id")
-        store.append("quarantine", quarantine)
+        store.append("quarantine", rejected.select("reason", F.to_json(F.struct(*EVENT_FIELDS, "wrong"), {"ignoreNullFields": "false"}).alias("record")), "run_id", run)
         target = store.table("responses", "fact_response", EVENT)
         upserted = upsert_statistics(target, resolved, "response_id", "updated_at").first().asDict()
         valid, bad = resolved.count(), rejected.count()
-        merged = newer_wins(target, resolved, "response_id", "updated_at")
-        everything = paged.available(url, token, as_of)
         watermark = max(filter(None, (top.top, previous)), default=None)
-        avoided = max(0, everything - top.n)
-        report = {
-            "run_id": run, "mode": mode_of(previous), "as_of": as_of, "full_scan_rows_at_cutoff": everything, "extracted_rows": top.n,
-            "rows_avoided_vs_full_scan": avoided, "read_reduction_pct": round(100 * avoided / everything, 1) if everything else 0.0,
-            "pages_requested": max(1, -(-top.n // page_size)), "previous_watermark": previous, "query_watermark": since, "committed_watermark": watermark,
-            "validation": {"valid_latest_rows_in_batch": valid, "superseded_or_replayed_rows_in_batch": top.n - valid - bad, "quarantined_rows": bad},
-            "upsert": upserted,
-        }
-        # the pointer's rename publishes the table and the watermark together, last
-        store.replace("responses", {"fact_response": merged}, watermark=watermark, run_id=run, as_of=as_of)
-        report["analytical_rows"] = store.table("responses", "fact_response").count()
+        merge = lambda held, new: newer_wins(held, new, "response_id", "updated_at")
+        store.merge("responses", "fact_response", resolved, "response_id", merge, EVENT, watermark=watermark, run_id=run, **facts)
+        analytical = store.table("responses", "fact_response", EVENT).count()
         resolved.unpersist()
     finally:
         batch.unpersist()
-    report["elapsed_seconds"] = round(time.perf_counter() - began, 3)
-    record(store, report)
-    return report
+    return {
+        "extracted_rows": top.n, "committed_watermark": watermark,
+        "validation": {"valid_latest_rows_in_batch": valid, "superseded_or_replayed_rows_in_batch": top.n - valid - bad, "quarantined_rows": bad},
+        "upsert": upserted, "analytical_rows": analytical,
+    }
 
 
 COMPARISON = "mode string, as_of string, full_scan_rows_at_cutoff long, extracted_rows long, rows_avoided_vs_full_scan long, read_reduction_pct double, analytical_rows long, run_id string"
@@ -122,17 +135,15 @@ def text_table(headers: list[str], rows: list[list]) -> str:
 
 
 def stream_upserts(spark: SparkSession, store: Store, options: dict, checkpoint: str):
-    """The same load as a stream: micro-batches of the API, each merged and committed by foreachBatch.
+    """The same load as a stream: micro-batches of the API, each applied and committed by foreachBatch.
 
-    Delivery is at least once; the merge is idempotent, so its effect is that of once.
+    Delivery is at least once. A batch that is replayed writes its parts over and merges
+    what is there already, so its effect is that of once; the watermark moves as in load().
     """
     paged.register(spark)
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        resolved, rejected = latest_valid(batch)
-        store.append("quarantine", rejected.select("reason", F.to_json(F.struct(*EVENT_FIELDS), {"ignoreNullFields": "false"}).alias("record"), F.lit(f"epoch-{epoch}").alias("run_id")))
-        target = store.table("responses", "fact_response", EVENT)
-        store.replace("responses", {"fact_response": newer_wins(target, resolved.select(*EVENT_FIELDS), "response_id", "updated_at")}, epoch=epoch)
+    def commit(batch: DataFrame, epoch: int) -> None:
+        apply(store, batch, f"epoch-{epoch}")
 
     stream = spark.readStream.format("paged_responses").options(**options).load()
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)

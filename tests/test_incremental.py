@@ -31,9 +31,55 @@ def source():
     return events.build()
 
 
-def test_fixture_counts(source):
-    assert len(source) == 6377 and sum(e["event_version"] == 99 for e in source) == 25
-    assert source == events.build()
+def expected_load(events, since, until, held):
+    """A run by plain loops over the source: (rows read, valid, superseded, rejected, upsert counts); updates held."""
+    read = [e for e in events if (since or "") < e["updated_at"] <= until]
+    best, order = {}, lambda e: (e["updated_at"], int(e["event_version"]))
+    for e in read:
+        if e["_reason"] is None and (e["response_id"] not in best or order(e) > order(best[e["response_id"]])):
+            best[e["response_id"]] = e
+    rejected = sum(e["_reason"] is not None for e in read)
+    told = {"inserted": 0, "updated": 0, "replayed_or_unchanged": 0}
+    for name, e in best.items():
+        kind = "inserted" if name not in held else "updated" if e["updated_at"] > held[name]["updated_at"] else "replayed_or_unchanged"
+        told[kind] += 1
+        if kind != "replayed_or_unchanged":
+            held[name] = e
+    return len(read), len(best), len(read) - len(best) - rejected, rejected, told
+
+
+def test_the_source_has_all_cases(source):
+    assert {e["_reason"] for e in source} == {None, *(reason for _, _, reason in events.DAMAGE)}
+    assert max(e["event_version"] for e in source if type(e["event_version"]) is int) == 3 and source == events.build()
+
+
+def test_wrong_types_have_their_reason_and_fail_no_load(spark, source):
+    server = events.Server(source)
+    paged.register(spark)
+    try:
+        got = spark.read.format("paged_responses").options(url=server.url, token=events.TOKEN).load()
+        told = got.withColumn("reason", validation.event_reason(got)).orderBy("page", "place").collect()
+        assert [r.reason for r in told] == [e["_reason"] for e in source]
+    finally:
+        server.close()
+    odd = {"response_id": "r", "customer_id": 7, "updated_at": "2026-01-01", "responded_at": "2026-01-01T00:00:00+01:00", "event_version": "12", "nps_score": 10**30}
+    out = dict(zip([*EVENT_FIELDS, "wrong"], paged.as_row(odd), strict=True))
+    assert (out["customer_id"], out["updated_at"], out["event_version"], out["nps_score"], out["wrong"]) == ("7", None, 12, None, "updated_at,nps_score")
+    assert out["responded_at"] == datetime(2025, 12, 31, 23, tzinfo=UTC)
+
+
+def test_filters_on_the_update_time_reach_the_api(spark, source):
+    server = events.Server(source)
+    paged.register(spark)
+    try:
+        low, high = source[300]["updated_at"], source[420]["updated_at"]
+        df = spark.read.format("paged_responses").options(url=server.url, token=events.TOKEN).load()
+        got = df.filter(F.col("updated_at") > F.to_timestamp(F.lit(low))).filter(F.col("updated_at") <= F.to_timestamp(F.lit(high)))
+        assert got.count() == sum(low < e["updated_at"] <= high for e in source)
+        asked = server.requests[-1]
+        assert asked["updated_since"] >= source[290]["updated_at"] and asked["as_of"] <= source[430]["updated_at"]
+    finally:
+        server.close()
 
 
 def test_reasons_are_the_first_broken_rule(spark):
@@ -122,43 +168,74 @@ def test_pages_token_and_retries(spark, source):
 
 
 def test_full_then_incremental_then_nothing(spark, source, tmp_path):
-    server, store = events.Server(source), Store(spark, str(tmp_path / "lake"))
+    server, store, held = events.Server(source), Store(spark, str(tmp_path / "lake")), {}
     try:
-        full = incremental.load(store, server.url, events.TOKEN, "2025-09-30T23:59:59Z")
-        assert (full["mode"], full["pages_requested"], full["full_scan_rows_at_cutoff"], full["extracted_rows"]) == ("full", 19, 4573, 4573)
-        assert full["committed_watermark"] == "2025-09-30T23:37:00Z" and full["query_watermark"] is None and full["read_reduction_pct"] == 0.0
-        assert full["validation"] == {"valid_latest_rows_in_batch": 4315, "superseded_or_replayed_rows_in_batch": 240, "quarantined_rows": 18}
-        assert full["upsert"] == {"inserted": 4315, "updated": 0, "replayed_or_unchanged": 0} and full["analytical_rows"] == 4315
-        more = incremental.load(store, server.url, events.TOKEN, "2026-01-15T23:59:59Z")
-        assert (more["mode"], more["pages_requested"], more["full_scan_rows_at_cutoff"], more["extracted_rows"], more["rows_avoided_vs_full_scan"], more["read_reduction_pct"]) == ("incremental", 8, 6365, 1793, 4572, 71.8)
-        assert (more["previous_watermark"], more["query_watermark"], more["committed_watermark"]) == ("2025-09-30T23:37:00Z", "2025-09-30T23:32:00Z", "2026-01-15T13:46:00Z")
-        assert more["validation"] == {"valid_latest_rows_in_batch": 1699, "superseded_or_replayed_rows_in_batch": 87, "quarantined_rows": 7}
-        assert more["upsert"] == {"inserted": 1685, "updated": 13, "replayed_or_unchanged": 1} and more["analytical_rows"] == 6000
-        before = metrics.output_digest({"f": store.table("responses", "fact_response")})
-        none = incremental.load(store, server.url, events.TOKEN, "2025-01-01T00:00:00Z")
-        assert none["extracted_rows"] == 0 and none["committed_watermark"] == more["committed_watermark"] and none["read_reduction_pct"] == 0.0
+        first, second = source[700]["updated_at"], source[-1]["updated_at"]
+        quarantined, previous = 0, None
+        for until in (first, second):
+            since = incremental.overlap(previous)
+            read, valid, superseded, rejected, upserted = expected_load(source, since, until, held)
+            got = incremental.load(store, server.url, events.TOKEN, until, page_size=100)
+            everything = sum(e["updated_at"] <= until for e in source)
+            assert (got["mode"], got["previous_watermark"], got["query_watermark"]) == ("full" if previous is None else "incremental", previous, since)
+            assert (got["extracted_rows"], got["pages_requested"], got["full_scan_rows_at_cutoff"], got["rows_avoided_vs_full_scan"]) == (read, -(-read // 100), everything, everything - read)
+            assert got["read_reduction_pct"] == round(100 * (everything - read) / everything, 1)
+            assert got["validation"] == {"valid_latest_rows_in_batch": valid, "superseded_or_replayed_rows_in_batch": superseded, "quarantined_rows": rejected}
+            assert got["upsert"] == upserted and got["analytical_rows"] == len(held)
+            previous = max(e["updated_at"] for e in source if e["updated_at"] <= until)
+            assert got["committed_watermark"] == previous
+            quarantined += rejected
+        fact = store.table("responses", "fact_response")
+        assert {r.response_id: (r.event_version, r.nps_score) for r in fact.collect()} == {k: (e["event_version"], e["nps_score"]) for k, e in held.items()}
+        before = metrics.output_digest({"f": fact})
+        none = incremental.load(store, server.url, events.TOKEN, "2020-01-01T00:00:00Z")
+        assert none["extracted_rows"] == 0 and none["committed_watermark"] == previous and none["read_reduction_pct"] == 0.0
         assert metrics.output_digest({"f": store.table("responses", "fact_response")}) == before
         runs = store.table("comparison", "runs").orderBy("as_of").collect()
-        assert [(r.mode, r.analytical_rows) for r in runs] == [("incremental", 6000), ("full", 4315), ("incremental", 6000)]
-        assert store.history("quarantine", "reason string, record string, run_id string").count() == 25
+        assert [(r.mode, r.analytical_rows) for r in runs][1:] == [("full", runs[1].analytical_rows), ("incremental", len(held))]
+        assert store.history("quarantine", incremental.QUARANTINE).count() == quarantined
         files.write_gold_csv(store.table("responses", "fact_response"), str(tmp_path / "gold"))
         gold = spark.read.option("header", True).csv(str(tmp_path / "gold"))
-        assert gold.columns == EVENT_FIELDS and gold.count() == 6000 and gold.first().response_id == "R000001"
-        incremental.save_reports(store, more, str(tmp_path / "reports"))
-        assert "read_reduction_pct" in (tmp_path / "reports/incremental_2026-01-15.txt").read_text()
+        assert gold.columns == EVENT_FIELDS and gold.count() == len(held) and gold.first().response_id == min(held)
+        incremental.save_reports(store, got, str(tmp_path / "reports"))
+        assert "read_reduction_pct" in (tmp_path / f"reports/incremental_{second[:10]}.txt").read_text()
         assert (tmp_path / "reports/load_comparison.txt").read_text().count("incremental") == 2
         assert incremental.text_table(["a", "bb"], [["1", 2]]) == "a | bb\n--+---\n1 | 2 "
         store.register("responses")
-        assert spark.sql("select count(*) from fact_response").first()[0] == 6000
+        assert spark.sql("select count(*) from fact_response").first()[0] == len(held)
     finally:
         server.close()
 
 
+def test_a_replayed_run_and_a_small_batch_write_little(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "lake"))
+    shape = EVENT + ", wrong string, page int, place int"
+    many = [(*row(response_id=f"R{i}"), None, 1, i) for i in range(2000)]
+    incremental.apply(store, spark.createDataFrame(many, shape), "one")
+    size = lambda: {p: p.stat().st_size for p in (tmp_path / "lake/responses").rglob("*.parquet")}
+    whole = size()
+    late = [(*row(response_id="R7", updated_at=datetime(2026, 5, 1, tzinfo=UTC), nps_score=1), None, 1, 0), (*row(response_id="R8", nps_score=99), None, 1, 1)]
+    for _ in range(3):
+        told = incremental.apply(store, spark.createDataFrame(late, shape), "two")
+        assert told["analytical_rows"] == 2000 and told["validation"]["quarantined_rows"] == 1
+    # one bucket of 64 was written again, and a replay repeats no row of the raw parts
+    added = sum(v for p, v in size().items() if p not in whole)
+    assert added <= 3 * 4 * sum(whole.values()) / 64
+    assert store.history("quarantine", incremental.QUARANTINE).count() == 1 and store.history("bronze", incremental.BRONZE).count() == 2002
+    assert store.table("responses", "fact_response").filter("response_id = 'R7'").first().nps_score == 1
+    for n in range(5):
+        incremental.apply(store, spark.createDataFrame(late, shape), f"more {n}")
+    assert store.table("responses", "fact_response").count() == 2000
+    # snapshots that are no longer kept are gone
+    paths = {str(p.relative_to(tmp_path / "lake")) for p in (tmp_path / "lake/responses").glob("*/fact_response/_bucket=*")}
+    assert len(paths) <= 64 + 4
+
+
 def test_stream_equals_batch(spark, source, tmp_path):
     part = source[:400]
     server, store = events.Server(part), Store(spark, str(tmp_path / "lake"))
     try:
-        stream = incremental.stream_upserts(spark, store, {"url": server.url, "token": events.TOKEN}, str(tmp_path / "check"))
+        stream = incremental.stream_upserts(spark, store, {"url": server.url, "token": events.TOKEN, "page_size": "150"}, str(tmp_path / "check"))
         query = stream.trigger(processingTime="500 milliseconds").start()
         try:
             query.processAllAvailable()
@@ -168,6 +245,8 @@ def test_stream_equals_batch(spark, source, tmp_path):
         incremental.load(batch, server.url, events.TOKEN, "2100-01-01T00:00:00Z")
         both = [metrics.output_digest({"f": s.table("responses", "fact_response")}) for s in (store, batch)]
         assert both[0] == both[1] and both[0]["f"][0] > 300
+        assert store.facts("responses")["watermark"] == batch.facts("responses")["watermark"] == part[-1]["updated_at"]
+        assert store.history("bronze", incremental.BRONZE).count() == len(part)
     finally:
         server.close()
 
