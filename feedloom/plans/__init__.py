@@ -1 +1,3 @@
-"""Plans of the feedloom engine."""
+"""Named queries of the feedloom engine."""
+
+from . import catalog, payloads  # noqa: F401

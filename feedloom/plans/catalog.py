@@ -142,11 +142,11 @@ def quality_status(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM c LEFT JOIN x ON c.l_orderkey = x.l_orderkey AND c.l_linenumber = x.l_linenumber)
   SELECT status, count(*) AS n FROM s GROUP BY status""")
 def audit_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").withColumn("conflict", versions.varies(F.col("l_partkey"), "l_orderkey", "l_linenumber"))
-    copies = versions.ranked(rows.filter("not conflict"), ["l_orderkey", "l_linenumber"], [F.asc(c) for c in LINE_ORDER], "copy")
-    parts = [(copies.filter("copy = 1"), "selected_current"), (copies.filter("copy > 1"), "repeated_snapshot"), (rows.filter("conflict"), "quarantined")]
-    told = [df.select(F.lit(status).alias("status")) for df, status in parts]
-    return told[0].unionByName(told[1]).unionByName(told[2]).groupBy("status").agg(F.count("*").alias("n"))
+    key = ["l_orderkey", "l_linenumber"]
+    # one exchange and one sort serve the conflict and the copies
+    rows = versions.ranked(table(spark, sf_dir, "lineitem"), key, [F.asc(c) for c in LINE_ORDER], "copy").withColumn("conflict", versions.varies(F.col("l_partkey"), *key))
+    status = F.when(F.col("conflict"), "quarantined").when(F.col("copy") == 1, "selected_current").otherwise("repeated_snapshot")
+    return rows.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
 # -- merges ----------------------------------------------------------------------
@@ -175,19 +175,22 @@ def upsert_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert.upsert_statistics(*sides(spark, sf_dir), "user_id", "ts")
 
 
-@query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 2 = 0 UNION ALL
-  SELECT o_orderkey, o_custkey FROM orders b WHERE o_orderkey % 3 = 0 AND NOT EXISTS (SELECT 1 FROM orders t WHERE t.o_orderkey % 2 = 0 AND t.o_orderkey = b.o_orderkey)""")
+HALF = "o_totalprice < 200000"  # two sides that overlap and cover all orders
+OVERLAP = "o_totalprice >= 150000 OR o_totalprice IS NULL"
+
+
+@query(f"SELECT o_orderkey, o_custkey, CASE WHEN {HALF} THEN 'target' ELSE 'batch' END AS origin FROM orders")
 def insert_only_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    target, batch = rows.filter("o_orderkey % 2 = 0"), rows.filter("o_orderkey % 3 = 0")
+    rows = table(spark, sf_dir, "orders")
+    target, batch = (rows.filter(side).select("o_orderkey", "o_custkey", F.lit(name).alias("origin")) for side, name in ((HALF, "target"), (OVERLAP, "batch")))
     return target.unionByName(upsert.absent(batch, target, ["o_orderkey"]))
 
 
-@query("SELECT o.o_orderkey FROM orders o JOIN orders t ON o.o_orderkey = t.o_orderkey WHERE o.o_custkey % 2 = 0 AND t.o_custkey % 3 = 0 AND o.o_orderpriority <> '5-LOW'")
+@query(f"SELECT o_orderkey FROM orders WHERE ({HALF}) AND ({OVERLAP}) AND o_orderpriority <> '5-LOW'")
 def receipt_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders")
-    batch = rows.filter("o_custkey % 2 = 0").select("o_orderkey", F.when(F.col("o_orderpriority") == "5-LOW", "same").otherwise("other").alias("content"))
-    target = rows.filter("o_custkey % 3 = 0").select("o_orderkey", F.lit("same").alias("content"))
+    batch = rows.filter(OVERLAP).select("o_orderkey", F.when(F.col("o_orderpriority") == "5-LOW", "same").otherwise("other").alias("content"))
+    target = rows.filter(HALF).select("o_orderkey", F.lit("same").alias("content"))
     return upsert.collisions(batch, target, "o_orderkey", "content")
 
 
