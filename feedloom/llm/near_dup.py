@@ -24,6 +24,7 @@ component steps.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -36,6 +37,7 @@ from . import common
 from .shingles import digest, overlaps, shingle_sets
 
 TASK_ROWS = 2048
+MISS = 1e-7  # the chance that a pair at the threshold has fewer sketch values in common than asked
 BROADCAST_ROWS = 100_000  # of two numbers each
 SKETCH = "doc_id long, print long, n_shingles long, hi long, lo long, sketch array<long>"
 
@@ -83,6 +85,14 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
         yield held
 
 
+def least_share(percent: int, k: int) -> float:
+    """The share of a union's k least values that two sets of this similarity have in common, but for a chance of MISS."""
+    t, below, m = percent / 100, 0.0, 0
+    while m < k and (below := below + math.comb(k, m) * t**m * (1 - t) ** (k - m)) <= MISS:
+        m += 1
+    return m / k
+
+
 @common.tidily
 def _verify(batches: Iterator[pa.RecordBatch], size: int, k: int, percent: int, margin: float) -> Iterator[pa.RecordBatch]:
     """Links of each unit: (a, b) with 100 * |A & B| >= percent * |A | B|.
@@ -151,28 +161,32 @@ def classes(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 64, star
     Null and empty texts have no shingles: n_shingles 0, linked with nothing, kept.
     Rows that repeat a doc_id are separate nodes; with equal sets they are one class.
     A null doc_id takes part like any other and is never a class's least id unless
-    all are null. Further columns of docs are ignored.
+    all are null. Very long texts count whole. An empty table gives an empty result.
+    Further columns of docs are ignored.
     """
     return _classes(docs, size, percent, k, star_shingles, block_rows).drop("print")
 
 
 def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80, k: int = 64) -> DataFrame:
-    """The row of each class that stands for it, with all columns of docs.
+    """The row of each class that stands for it, with all columns of docs, of any names.
 
-    Only ids and prints of texts are joined back. Of rows that repeat both doc_id and
-    text one stays, whichever.
+    It is one with the class's least doc_id. Only ids and prints of texts are joined
+    back. Of rows that repeat both doc_id and text one stays, whichever Spark meets
+    first, as the other columns have no order. Null and empty texts are no duplicates
+    of anything but of rows that repeat their doc_id as well. An empty table stays so.
     """
     found = _classes(docs, size, percent, k, 1 << 17, 128)
-    keepers = common.scratch(found.filter("first").select(F.col("doc_id").alias("_id"), F.col("print").alias("_print")), "keepers")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_print"))
-    kept = docs.join(keepers.distinct().hint("shuffle_hash"), same, "left_semi")
+    own, mark = common.unused(docs.columns, "id", "print")
+    keepers = common.scratch(found.filter("first").select(F.col("doc_id").alias(own), F.col("print").alias(mark)), "keepers")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & F.xxhash64("text").eqNullSafe(F.col(mark))
+    kept = docs.join(keepers.distinct(), same, "left_semi")
     if found.groupBy("doc_id", "print").count().filter("count > 1").isEmpty():
         return kept
     return kept.dropDuplicates(["doc_id", "text"])
 
 
 def _classes(docs: DataFrame, size: int, percent: int, k: int, star_shingles: int, block_rows: int) -> DataFrame:
-    margin = 0.5
+    margin = least_share(percent, k)
     base = common.scratch(sketches(docs, size, k).withColumn("uid", F.monotonically_increasing_id()), "sketches")
     # small inputs don't need all of the session's partitions; large ones keep them
     tasks = -(-base.count() // TASK_ROWS) or 1
@@ -196,7 +210,7 @@ def _classes(docs: DataFrame, size: int, percent: int, k: int, star_shingles: in
     members = stars.select("uid").union(stars.select("leader")).union(index.select("uid")).distinct()
     wanted = own.drop("sketch", "n_shingles").join(members, "uid", "left_semi")
     source = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    texts = scratch(source.join(wanted.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("doc_id"))).select("uid", "hi", "lo", "text"), "texts")
+    texts = scratch(source.join(wanted, F.col("id").eqNullSafe(F.col("doc_id"))).select("uid", "hi", "lo", "text"), "texts")
 
     def verify(assigned: DataFrame) -> DataFrame:
         there = assigned.join(texts, "uid").select("unit", "side", "uid", "comp", "hi", "lo", "text")

@@ -84,6 +84,37 @@ def test_edges(spark):
     assert kept.count() == 9
 
 
+def test_recall_against_all_pairs(spark):
+    """Pairs at and around the threshold: every one that links is found."""
+    rng = random.Random(21)
+    rows = []
+    for d in range(150):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([30, 120, 400]))]
+        rows.append((2 * d, " ".join(words)))
+        cut = round(len(words) * rng.uniform(0.08, 0.14))
+        rows.append((2 * d + 1, " ".join(words[:-cut] + [f"v{rng.randrange(10**6)}" for _ in range(cut)])))
+    rng.shuffle(rows)
+    got = near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string"), size=4)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == brute(rows, 4, 80)
+
+
+def test_names_of_other_columns_dont_clash(spark):
+    names = ["_id", "_print", "id", "print", "ID_", "uid", "hi", "lo", "first", "kept", "sketch", "n_shingles"]
+    rows = [(i, "one two three four five six" if i < 3 else f"text {i}", *(f"{i}-{n}" for n in names)) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names if n != "ID_") + ", `ID_` string")
+    kept = near_dup.deduplicate(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [0, 3, 4, 5]
+
+
+def test_the_chance_of_a_miss_bounds_the_share():
+    from math import comb
+
+    for percent in (50, 60, 70, 80, 90):
+        m = round(near_dup.least_share(percent, 64) * 64)
+        below = lambda n, t=percent / 100: sum(comb(64, i) * t**i * (1 - t) ** (64 - i) for i in range(n))
+        assert below(m) <= near_dup.MISS < below(m + 1)
+
+
 def test_hashes_follow_the_words():
     texts = ["Ab c d e f", "ab  C\nd e f ", "", "x", "é É a b c", "a" * 1000 + " b"]
     got = list(shingles.shingle_sets(texts, 4, limit=16))
