@@ -59,6 +59,37 @@ def test_counts_come_from_the_cache(spark, tmp_path):
     assert {r.n_tokens for r in token_counts.token_counts(docs.filter("doc_id = 1"), other).collect()} == {77}
 
 
+@pytest.mark.parametrize("bits", [1, 3, 1 << 26])
+def test_each_content_is_encoded_once_whatever_the_bitmaps_say(spark, tmp_path, monkeypatch, bits):
+    monkeypatch.setattr(token_counts, "BITS", bits)
+    path = str(tmp_path / "cache")
+    rows = [(i, "hot text" if i % 3 == 0 else f"text {i % 17} and {i % 5}") for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    units = tokens.PieceUnits(tokens.tokenizer_path("piece_bpe_32k.model"))
+    want = sorted((i, len(units.model.encode(t))) for i, t in rows)
+    few = docs.filter("doc_id < 40")
+    for part in (few, docs, docs):
+        held = {r.doc_id for r in part.select("doc_id").collect()}
+        got = token_counts.token_counts(part, path)
+        assert sorted((r.doc_id, r.n_tokens) for r in got.collect()) == [w for w in want if w[0] in held]
+        cache = token_counts.read_cache(spark, path)
+        assert cache.count() == cache.select("content").distinct().count() == part.select("text").distinct().count()
+
+
+def test_a_second_run_encodes_nothing(spark, tmp_path, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    path = str(tmp_path / "cache")
+    token_counts.fill_cache(docs.filter("lang = 'en'"), path)
+    early = token_counts.read_cache(spark, path).count()
+    first = token_counts.token_counts(docs, path).collect()
+    n = token_counts.read_cache(spark, path).count()
+    assert 0 < early < n == docs.select(F.coalesce("text", F.lit(""))).distinct().count()
+    monkeypatch.setattr(token_counts, "_encoded", None)  # a second run doesn't come to it
+    assert sorted(token_counts.token_counts(docs, path).collect(), key=str) == sorted(first, key=str)
+    assert token_counts.read_cache(spark, path).count() == n
+
+
 def test_open_bins_are_best_fit_and_bounded():
     rng = random.Random(1)
     for most in (1, 3, 50):
@@ -97,6 +128,52 @@ def test_packing_is_whole(spark, partitions):
     assert got.sequence_id.nunique() <= 1.15 * got.length.sum() / 2048 + 2 * partitions
 
 
+def brute_pack(lengths, size, most):
+    """The bins of an online best-fit of bounded space, by search over all open bins."""
+    free, closed, made = {}, 0, []
+    for n in lengths:
+        fits = [f for f in free.values() if f >= n]
+        if fits:
+            # of bins with equal space any will do: the multiset of free spaces is the same
+            bin_ = next(b for b, f in free.items() if f == min(fits))
+        else:
+            if len(free) == most:
+                fullest = next(b for b, f in free.items() if f == min(free.values()))
+                made.append(free.pop(fullest))
+            bin_ = closed = closed + 1
+            free[bin_] = size
+        free[bin_] -= n
+        if free[bin_] == 0:
+            made.append(free.pop(bin_))
+    return sorted(made + list(free.values()))
+
+
+def test_packing_equals_brute_best_fit():
+    rng = random.Random(8)
+    for most in (1, 4, 64):
+        lengths = [rng.choice([rng.randint(1, 60), rng.randint(1, 300)]) for _ in range(1200)]
+        bins = packing.OpenBins(300, most)
+        for n in lengths:
+            bins.add(n, (n,))
+        spaces = [300 - sum(r[0] for r in rows) for _, rows in bins.closed] + [f for f, _ in bins.rest()]
+        assert sorted(spaces) == brute_pack(lengths, 300, most)
+
+
+def test_the_whole_packing_has_as_many_sequences_as_brute_best_fit(spark):
+    rng = random.Random(12)
+    rows = [(i, " ".join(["the"] * rng.choice([5, 40, 300, 900, 2500]))) for i in range(400)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), open_bins=64, slack=2048).toPandas()
+    order = got.sort_values(["doc_id", "piece"])
+    assert got.sequence_id.nunique() == len(brute_pack(order.length.tolist(), 2048, 64))
+
+
+@pytest.mark.parametrize("partitions", [16, 32, 64, 512])
+def test_a_second_pass_task_holds_few_partitions(spark, partitions):
+    left = spark.range(partitions * 3).select(F.shiftleft(F.col("id") % partitions, 32).alias("sequence_id"))
+    found = packing.groups(left, partitions - 1, 8).groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct(packing.source_partition()).alias("n")).collect()
+    assert len(found) == partitions // 8 and {r.n for r in found} == {8}
+
+
 def test_packing_an_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
