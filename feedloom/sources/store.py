@@ -19,6 +19,9 @@ from ..operators.upsert import absent, assert_empty, collisions
 
 
 BUCKETS = 64
+#: What the loads and deliveries write at the top of their folder.
+GROUPS = ("responses", "comparison", "survey")
+OWN = {*GROUPS, *(f"{g}.json" for g in GROUPS), "bronze", "quarantine", "receipts", "normalized"}
 KEPT = 3  # snapshots before the current one, for readers that still hold them
 
 
@@ -135,6 +138,12 @@ class Store:
         for name in (self._read(f"{group}.json") or {"tables": []})["tables"]:
             self.table(group, name).createOrReplaceTempView(prefix + name)
 
+    def is_own(self) -> bool:
+        """Whether the folder holds nothing, or no more than a store's pointers and folders."""
+        where = self._path(self.root)
+        names = [x.getPath().getName() for x in self._fs.listStatus(where)] if self._fs.exists(where) else []
+        return all(n in OWN or n.startswith(".") and n.split(".")[1] in OWN for n in names)
+
     def reset(self) -> None:
         self._fs.delete(self._path(self.root), True)
 
