@@ -57,5 +57,6 @@ def run(spark, argv: list[str] | None = None) -> list[dict]:
 
 
 if __name__ == "__main__":
+    arguments().parse_args()  # wrong arguments end it before a session begins
     for report in run(session()):
         print(json.dumps(report, ensure_ascii=False, sort_keys=True, default=str))
